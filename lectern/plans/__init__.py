@@ -1 +1,13 @@
+"""Registered queries of the core, each with its SQL where SQL can say it."""
 
+from lectern.plans import incremental
+
+MODULES = [incremental]
+
+
+def queries() -> dict:
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+
+
+def oracle() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}
