@@ -35,7 +35,7 @@ SPAN = 50_000
 
 def bare_label(c: Column) -> Column:
     """A speaker label without decoration, in lower case."""
-    c = F.regexp_replace(F.lower(c), r"[\*\[\]\(\)<>{}_#: \s]+", " ")
+    c = F.regexp_replace(F.lower(c), r"[\*\[\]\(\)<>{}_#:\s ]+", " ")
     return F.trim(c)
 
 
@@ -51,7 +51,6 @@ def messages(df: DataFrame, alias: DataFrame) -> DataFrame:
     return d.withColumn("has_content", ~F.coalesce("content", F.lit("")).rlike(BLANK))
 
 
-@F.pandas_udf("array<int>")
 def _walk(ids: pd.Series, parents: pd.Series) -> pd.Series:
     """Place of each message in the chain, or null if there is no one chain."""
     out = []
@@ -83,7 +82,7 @@ def chain_places(d: DataFrame, longest: int = CHAIN_ARRAY) -> DataFrame:
     ).filter("starts = 1 and unnamed = 0")
     t = t.join(n.select("conv_id", "n"), "conv_id")
     small = t.filter(F.col("n") <= longest).groupBy("conv_id").agg(F.collect_list(F.struct("msg_id", "parent_msg_id")).alias("m"))
-    small = small.withColumn("place", _walk(F.col("m.msg_id"), F.col("m.parent_msg_id"))).filter("place is not null")
+    small = small.withColumn("place", F.pandas_udf(_walk, "array<int>")(F.col("m.msg_id"), F.col("m.parent_msg_id"))).filter("place is not null")
     small = small.select("conv_id", F.explode(F.arrays_zip(F.col("m.msg_id").alias("msg_id"), F.col("place").alias("place"))).alias("x")).select("conv_id", "x.msg_id", "x.place")
     big = t.filter(F.col("n") > longest)
     top = big.agg(F.max("n")).first()[0]
@@ -171,7 +170,7 @@ def calibrated_gap(df: DataFrame, channel: list[str], at: str = "sent_at", least
     w = Window.partitionBy(*channel).orderBy(at)
     gap = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
     g = df.filter(F.col(at).isNotNull()).select((gap - F.lag(gap).over(w)).alias("g")).filter(F.col("g") > 0)
-    rows = g.select(F.least(F.floor(F.log(F.lit(2.0), F.col("g")) * 2), F.lit(63)).alias("b")).filter("b >= 0").groupBy("b").count().collect()
+    rows = g.select(F.least(F.floor(F.log2("g") * 2), F.lit(63)).alias("b")).filter("b >= 0").groupBy("b").count().collect()
     if not rows:
         return float("inf")
     h = np.zeros(64)
