@@ -1,0 +1,399 @@
+"""Languages of documents and of their stretches, by hyperdimensional profiles.
+
+Every symbol of the text has a random vector of +-1. A trigram's vector binds
+its three symbols' vectors, each permuted by its place, by multiplication; a
+language's prototype bundles the trigrams of its training texts; a sentence is
+compared with the prototypes by cosine. As bundling is a sum, the product of
+every possible trigram with every prototype is tabled once, and a sentence's
+scores are sums over that table.
+
+Training texts are a built-in paragraph per language and at most ``SAMPLE``
+labelled rows of each language (a bound and parameter). Nothing else is limited.
+
+Defined results
+---------------
+null, empty and blank texts: no language; texts without letters, long runs
+without white space: ignored; labels: an ISO 639 code of two or three letters,
+also with a region, or the English or own name of one of the languages, in any
+case; anything else names none; repeated rows: one record; null ids: dropped;
+an empty table: the built-in texts alone train the profiles, no rows come out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.sentences import ABBREVIATIONS
+
+#: Abbreviations that do not end a sentence, as a stop follows them.
+NEVER_LAST = ABBREVIATIONS | frozenset("abcdefghijklmnopqrstuvwxyz") | {"al"}
+
+LANGUAGES = ("en", "de", "fr", "es", "it", "la", "ru", "el", "zh", "ja", "ar", "hi", "th")
+
+#: What names a language (ISO 639 codes, English and own names).
+NAMES = {
+    "en": ("en", "eng", "english"),
+    "de": ("de", "deu", "ger", "german", "deutsch"),
+    "fr": ("fr", "fra", "fre", "french", "français", "francais"),
+    "es": ("es", "spa", "spanish", "español", "espanol", "castellano"),
+    "it": ("it", "ita", "italian", "italiano"),
+    "la": ("la", "lat", "latin", "latina", "lingua latina"),
+    "ru": ("ru", "rus", "russian", "русский", "русский язык"),
+    "el": ("el", "ell", "gre", "greek", "ελληνικά", "ελληνικα"),
+    "zh": ("zh", "zho", "chi", "chinese", "中文", "汉语", "漢語"),
+    "ja": ("ja", "jpn", "japanese", "日本語"),
+    "ar": ("ar", "ara", "arabic", "العربية", "عربي"),
+    "hi": ("hi", "hin", "hindi", "हिन्दी", "हिंदी"),
+    "th": ("th", "tha", "thai", "ไทย", "ภาษาไทย"),
+}
+#: The first article of the Universal Declaration of Human Rights.
+SEED = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geiste der Brüderlichkeit begegnen.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "la": "Omnes homines liberi aequique dignitate atque iuribus nascuntur. Ratione conscientiaque praediti sunt et alii erga alios cum fraternitate se gerere debent.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ",
+}
+#: Labelled rows of a language that train its profile, at most.
+SAMPLE = 150
+DIMENSIONS = 8192
+SYMBOLS = 64
+#: Letters of a sentence at least, by script (Latin, and scripts of denser writing).
+LEAST, LEAST_DENSE = 14, 5
+#: Longest stretch without white space that is read as words.
+LONGEST_WORD = 40
+#: Characters scored at a time.
+BLOCK = 400_000
+
+# ---- symbols ----------------------------------------------------------------------------------
+_ACCENTS = ("äæ", "öœø", "ü", "ß", "é", "èêë", "àâ", "ç", "ñ", "íìîï", "óòô", "úùû", "á", "¿¡", "ãåõ")
+_SCRIPTS = ((0x0370, 0x0400, 0), (0x1F00, 0x2000, 0), (0x0400, 0x0530, 1), (0x4E00, 0xA000, 2), (0x3400, 0x4DC0, 2), (0x3040, 0x3100, 3), (0x31F0, 0x3200, 3), (0x0600, 0x0780, 4), (0x0900, 0x0980, 5), (0x0E00, 0x0E80, 6))
+_TOP = 0x20000
+BLANK, APOSTROPHE = 0, 27
+#: Classes of characters for finding sentences.
+SPACE, BREAK, STOP, HARD, CLOSER, LOWER, UPPER, THAI, OTHER = 1, 2, 3, 4, 5, 6, 7, 8, 0
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sym = np.zeros(_TOP, dtype=np.uint8)
+    kind = np.zeros(_TOP, dtype=np.uint8)
+    dense = np.zeros(_TOP, dtype=np.uint8)
+    for i in range(26):
+        sym[ord("a") + i] = sym[ord("A") + i] = i + 1
+    for a in "'’":
+        sym[ord(a)] = APOSTROPHE
+    for k, group in enumerate(_ACCENTS):
+        for c in group:
+            sym[ord(c)] = 28 + k
+            if c.upper() != c and len(c.upper()) == 1:
+                sym[ord(c.upper())] = 28 + k
+    for lo, hi, k in _SCRIPTS:
+        at = np.arange(lo, hi)
+        sym[lo:hi] = 43 + 3 * k + at % 3
+        if k in (2, 3):
+            dense[lo:hi] = 1
+    for i in range(_TOP):
+        c = chr(i)
+        if c == "\n" or c in "\r  ":
+            kind[i] = BREAK
+        elif c.isspace():
+            kind[i] = SPACE
+        elif c in ".!?…":
+            kind[i] = STOP
+        elif c in "。！？।॥؟":
+            kind[i] = HARD
+        elif c in "\"'”’»«“)]』」）":
+            kind[i] = CLOSER
+        elif 0x0E00 <= i < 0x0E80:
+            kind[i] = THAI
+        elif c.islower():
+            kind[i] = LOWER
+        elif c.isupper():
+            kind[i] = UPPER
+    return sym, kind, dense
+
+
+_CACHE: dict[str, tuple] = {}
+
+
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if "t" not in _CACHE:
+        _CACHE["t"] = _tables()
+    return _CACHE["t"]
+
+
+def codes(text: str) -> np.ndarray:
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(cp < _TOP, cp, 0x1F600).astype(np.int64)
+
+
+def trigrams(sym: np.ndarray) -> np.ndarray:
+    """The trigram that ends at each place."""
+    s = sym.astype(np.int32)
+    t = np.zeros(len(s), dtype=np.int32)
+    if len(s) > 2:
+        t[2:] = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    return t
+
+
+def symbols(cp: np.ndarray) -> np.ndarray:
+    """Symbols of the characters; stretches of Latin letters and digits that are
+    too long for words are blanked."""
+    sym, kind, _ = tables()
+    s, k = sym[cp], kind[cp]
+    gap = (k == SPACE) | (k == BREAK)
+    edge = np.flatnonzero(np.concatenate([[True], gap, [True]]))
+    length = np.diff(edge)
+    size = np.repeat(length, length)[: len(cp)]
+    latin = ((s > 0) & (s < 43)) | ((cp >= 48) & (cp < 58))
+    s = np.where((size > LONGEST_WORD) & latin, 0, s)
+    return s
+
+
+# ---- profiles -----------------------------------------------------------------------------------
+def profiles(texts: dict[str, list[str]], seed: int = 7) -> np.ndarray:
+    """The product of every trigram with every language's prototype, as cosines
+    times the length of the trigram's vector."""
+    rng = np.random.default_rng(seed)
+    letters = rng.choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIMENSIONS))
+    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
+    protos = []
+    for lang in LANGUAGES:
+        n = np.zeros(SYMBOLS**3)
+        for part in (texts.get(lang, []), [SEED[lang]]):
+            joined = " ".join(t for t in part if t)
+            if joined:
+                n += np.bincount(trigrams(symbols(codes(joined.lower()))), minlength=SYMBOLS**3)
+        n[0] = 0
+        seen = np.flatnonzero(n)
+        weight = np.sqrt(n[seen])  # common trigrams shall not drown the others
+        v = np.zeros(DIMENSIONS)
+        for k in range(0, len(seen), 8192):
+            g = seen[k : k + 8192]
+            v += weight[k : k + 8192] @ (first[g // SYMBOLS**2] * second[g // SYMBOLS % SYMBOLS] * letters[g % SYMBOLS]).astype(np.float32)
+        protos.append(v / max(np.linalg.norm(v), 1e-9))
+    p = np.stack(protos)
+    latin = p[:6] - p[:6].mean(axis=0)
+    p = np.concatenate([latin, p[6:]])
+    p = (p / np.linalg.norm(p, axis=1, keepdims=True)).T.astype(np.float32)
+    table = np.zeros((SYMBOLS**3, len(LANGUAGES)), dtype=np.float32)
+    groups = [np.arange(43), *[np.array([BLANK, *range(43 + 3 * k, 46 + 3 * k)]) for k in range(7)], np.array([BLANK, *range(49, 55)])]
+    for g in groups:  # trigrams across scripts say nothing
+        for a in g:
+            for b in g:
+                bound = (first[a] * second[b])[None, :] * letters[g]
+                table[(a * SYMBOLS + b) * SYMBOLS + g] = (bound.astype(np.float32) @ p) / np.sqrt(DIMENSIONS)
+    table[0] = 0
+    return table
+
+
+def label(c: Column) -> Column:
+    """The language that a label names, or null."""
+    low = F.trim(F.lower(c))
+    low = F.when(low.rlike(r"^[a-z]{2,3}[-_]"), F.regexp_extract(low, r"^([a-z]{2,3})", 1)).otherwise(low)
+    known = F.create_map(*[F.lit(x) for k, v in NAMES.items() for n in v for x in (n, k)])
+    return F.try_element_at(known, low)
+
+
+def training(df: DataFrame, text: str, lang: Column, key: Column, sample: int = SAMPLE) -> dict[str, list[str]]:
+    """At most ``sample`` labelled texts of each language, chosen by hash."""
+    from pyspark.sql import Window
+
+    d = df.select(F.substring(F.col(text), 1, 2000).alias("t"), label(lang).alias("l"), F.xxhash64(key).alias("h")).filter("l is not null and length(t) >= 60")
+    w = Window.partitionBy("l").orderBy("h", "t")
+    rows = d.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= sample).select("l", "t").collect()
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["l"], []).append(r["t"])
+    return out
+
+
+# ---- sentences and their scores -----------------------------------------------------------------
+def sentence_starts(joined: str, cp: np.ndarray) -> np.ndarray:
+    """Starts of the sentences in a run of texts that are parted by two line
+    breaks; the signs are found in all places at once, and only the stops are
+    looked at one by one."""
+    kind = tables()[1][cp]
+    n = len(cp)
+    nxt = np.concatenate([kind[1:], [BREAK]])
+    nxt2 = np.concatenate([kind[2:], [BREAK, BREAK]])
+    prev = np.concatenate([[BREAK], kind[:-1]])
+    gap = (nxt == SPACE) | (nxt == BREAK)
+    soft = np.flatnonzero(((kind == STOP) | ((kind == CLOSER) & (prev == STOP))) & gap)
+    keep = [i for i in soft.tolist() if _ends(joined, i, n)]
+    # a stop without a space: a small letter before it and a capital after it
+    tight = (kind == STOP) & (prev == LOWER) & (nxt == UPPER) & (nxt2 == LOWER)
+    hard = ((kind == HARD) & (nxt != CLOSER)) | ((kind == CLOSER) & (prev == HARD))
+    thai = (kind == THAI) & gap
+    blank = (kind == BREAK) & (nxt == BREAK)
+    at = np.flatnonzero(tight | hard | thai | blank)
+    at = np.concatenate([at, np.array(keep, dtype=np.int64)]) + 1
+    return np.concatenate([[0], at[at < n]]).astype(np.int64)
+
+
+def _ends(t: str, i: int, n: int) -> bool:
+    """Whether a sentence ends at a stop (or its closing mark) before a space."""
+    j = i + 1
+    while j < n and t[j].isspace():
+        j += 1
+    if j < n and t[j] == "»":  # set apart from its words, as in French
+        j += 1
+        while j < n and t[j].isspace():
+            j += 1
+    if j >= n or t[j].islower() or t[j] in ",;:)-–—":
+        return j >= n
+    if t[i] == "." and t[i - 1 : i] != ".":
+        w = t[max(0, i - 7) : i].split()
+        if w and len(w[-1]) < 7 and w[-1].lstrip("([„“«\"'").lower() in NEVER_LAST:
+            return False
+    return True
+
+
+class Detector:
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """For every sentence of the texts: the text's number, its start and end
+        in it, its language's number (-1: no sentence) and the confidence."""
+        joined = "\n\n".join(texts) + "\n\n"
+        cp = codes(joined)
+        sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+        begin = np.cumsum(sizes + 2) - sizes - 2
+        starts = np.unique(np.concatenate([sentence_starts(joined, cp), begin]))
+        sym = symbols(cp)
+        lang, conf = self.score(cp, sym, starts)
+        ends = np.concatenate([starts[1:], [len(cp)]])
+        row = np.searchsorted(begin, starts, side="right") - 1
+        lo = starts - begin[row]
+        hi = np.minimum(ends - begin[row], sizes[row])
+        ok = lo < hi
+        return row[ok], lo[ok], hi[ok], lang[ok], conf[ok]
+
+    def score(self, cp: np.ndarray, sym: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tri = trigrams(sym)
+        tri[starts] = 0
+        inner = starts[starts + 1 < len(tri)] + 1
+        tri[inner] = 0
+        sums = np.add.reduceat(self.table[tri], starts, axis=0)
+        letters = np.add.reduceat(((sym > 0) & (sym != APOSTROPHE)).astype(np.int32), starts)
+        dense = np.add.reduceat(tables()[2][cp].astype(np.int32), starts)
+        grams = np.add.reduceat((tri > 0).astype(np.int32), starts)
+        # the script decides which languages are compared
+        script = np.add.reduceat(_SCRIPT_OF[sym], starts, axis=0)
+        main = script.argmax(axis=1)
+        sums = np.where(_ALLOWED[main], sums, -np.inf)
+        lang = sums.argmax(axis=1)
+        best = sums[np.arange(len(lang)), lang]
+        sums[np.arange(len(lang)), lang] = -np.inf
+        # the cosine's margin over the next language: the trigrams of a sentence
+        # are nearly orthogonal, so its vector's length is the root of their number
+        with np.errstate(invalid="ignore"):
+            margin = np.maximum(best - sums.max(axis=1), 0) / np.sqrt(np.maximum(grams, 1))
+        share = script[np.arange(len(lang)), main] / np.maximum(letters, 1)
+        conf = share * (1 - np.exp(-MARGIN * margin))
+        enough = (letters >= LEAST) | (dense >= LEAST_DENSE)
+        return np.where(enough, lang, -1), conf
+
+
+#: How fast the confidence rises with the cosine's margin.
+MARGIN = 12.0
+#: Scripts of the symbols (0: Latin) and the languages written in each.
+_SCRIPT_OF = np.zeros((SYMBOLS, 8), dtype=np.float32)
+_SCRIPT_OF[1:43, 0] = 1
+_SCRIPT_OF[APOSTROPHE, 0] = 0
+for _k in range(7):
+    _SCRIPT_OF[43 + 3 * _k : 46 + 3 * _k, _k + 1] = 1
+_ALLOWED = np.zeros((8, len(LANGUAGES)), dtype=bool)
+for _row, _langs in enumerate((("en", "de", "fr", "es", "it", "la"), ("el",), ("ru",), ("zh", "ja"), ("ja",), ("ar",), ("hi",), ("th",))):
+    for _l in _langs:
+        _ALLOWED[_row, LANGUAGES.index(_l)] = True
+
+
+def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of a bounded number of characters (a longer text alone)."""
+    at, run, size = 0, [], 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        if run and size + len(t) > BLOCK:
+            yield at, run
+            at, run, size = i, [], 0
+        run.append(t)
+        size += len(t) + 2
+    if run:
+        yield at, run
+
+
+#: A sentence counts where its confidence is at least so high.
+SURE = 0.25
+
+
+def masks(df: DataFrame, table: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns and ``langs``, the bits of the languages in which the
+    text has a sentence."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    fields = [df.schema[c] for c in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        det = Detector(shared.value)
+        for b in batches:
+            out = np.zeros(b.num_rows, dtype=np.int64)
+            for at, texts in blocks(b.column(b.num_columns - 1).to_pylist()):
+                row, lo, hi, lang, conf = det.sentences(texts)
+                ok = (lang >= 0) & (conf >= SURE)
+                np.bitwise_or.at(out, row[ok] + at, np.int64(1) << lang[ok].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*keep, "langs"])
+
+    from pyspark.sql import types as T
+
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, T.StructType([*fields, T.StructField("langs", T.LongType())]))
+
+
+def stretches(df: DataFrame, table: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
+    """Stretches of one language in each text: (kept columns, stretch_start,
+    stretch_end, lang, confidence). Sentences that say nothing go with the
+    stretch before them."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    fields = [df.schema[c] for c in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        det = Detector(shared.value)
+        for b in batches:
+            rows, los, his, langs, confs = [], [], [], [], []
+            for at, texts in blocks(b.column(b.num_columns - 1).to_pylist()):
+                row, lo, hi, lang, conf = det.sentences(texts)
+                ok = (lang >= 0) & (conf >= SURE)
+                row, lo, hi, lang, conf = row[ok], lo[ok], hi[ok], lang[ok], conf[ok]
+                if not len(row):
+                    continue
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (lang[1:] != lang[:-1])])
+                s = np.flatnonzero(new)
+                w = (hi - lo).astype(float)
+                rows.append(row[s] + at)
+                los.append(lo[s])
+                his.append(np.maximum.reduceat(hi, s))
+                langs.append(lang[s])
+                confs.append(np.add.reduceat(conf * w, s) / np.add.reduceat(w, s))
+            if rows:
+                r = np.concatenate(rows)
+                cols = [c.take(pa.array(r)) for c in b.columns[:-1]]
+                names = pa.array(LANGUAGES).take(pa.array(np.concatenate(langs)))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(los)), pa.array(np.concatenate(his)), names, pa.array(np.concatenate(confs).round(4).astype(float))], names=[*keep, "stretch_start", "stretch_end", "lang", "confidence"])
+
+    from pyspark.sql import types as T
+
+    more = [T.StructField("stretch_start", T.LongType()), T.StructField("stretch_end", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())]
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, T.StructType([*fields, *more]))

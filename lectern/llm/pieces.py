@@ -24,7 +24,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.tokens import _spread
 from lectern.tables import current_chunks
 
 LIMIT, OVERLAP = 1600, 160
@@ -142,4 +141,4 @@ def split(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataF
                     hi.append(base + lead + y)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(no, pa.int32()), pa.array(parts, pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["id", "piece", "text", "char_start", "char_end"])
 
-    return _spread(items.select("id", "text", "base")).mapInArrow(run, "id string, piece int, text string, char_start long, char_end long")
+    return items.select("id", "text", "base").mapInArrow(run, "id string, piece int, text string, char_start long, char_end long")

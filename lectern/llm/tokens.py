@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lectern.session import table_bytes
+
 #: Fixed value: the pre-token pattern that belongs to the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where the vocabulary lies on every machine; a parameter of every call.
@@ -201,10 +203,17 @@ class Encoder:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Enough tasks for Python work even where the input is a single file."""
+    """Enough tasks for Python work on a scan of few small files; larger scans
+    are split by Spark already. Only file names and sizes are looked at."""
     spark = df.sparkSession
-    want = max(1, spark.sparkContext.defaultParallelism)
-    return df.repartition(want * 2) if df.rdd.getNumPartitions() < want else df
+    want = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= want:
+        return df
+    part = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if sum(table_bytes(f, spark) for f in files) >= want * part:
+        return df
+    return df.repartition(want)
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
