@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import conversations, fusion, mixing, pieces, sentences, tokens
-from lectern.tables import load
+from lectern.llm import conversations, fusion, languages, markup, mixing, pieces, sentences, tokens
+from lectern.tables import current_catalogue, instant, latest, load
 
 SCORES = {"_distance": False, "_relevance_score": True, "_score": True}
 
@@ -39,6 +39,61 @@ def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("conv_id", "session").agg(F.count("*").alias("messages"), F.min("sent_at").alias("first_at"), F.max("sent_at").alias("last_at"))
 
 
+def _comments(spark: SparkSession, d: str) -> DataFrame:
+    return current_catalogue(load(spark, d, "catalogue"), "comments_html").select("source_id", "comments_html")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.kinds(_comments(spark, d))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean(_comments(spark, d))
+
+
+def _profiles(spark: SparkSession, d: str):
+    c = load(spark, d, "chunks")
+    return languages.profiles(languages.training(c, "text", F.col("language"), F.col("id")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The scan is read once: a row's languages are found before the shuffle,
+    which then carries a few bytes a row instead of its text."""
+    table = _profiles(spark, d)
+    c = load(spark, d, "chunks").filter("id is not null").select(F.col("id").alias("record_id"), instant(F.col("indexed_at")).alias("at"), languages.label(F.col("language")).alias("named"), "text")
+    c = languages.masks(c, table, ["record_id", "at", "named"]).withColumn("record_kind", F.lit("chunk"))
+    c = latest(c, ["record_id"], [F.col("at").desc_nulls_last(), F.col("named").desc_nulls_last(), F.col("langs").desc()])
+    b = current_catalogue(load(spark, d, "catalogue"), "comments_html", "language")
+    b = b.select(F.to_json(F.struct("source_id", "language")).alias("key"), "comments_html")
+    b = languages.masks(markup.clean(b, "key", what="prose"), table, ["key"], "clean")
+    key = F.from_json("key", "source_id string, language string")
+    b = b.select(key["source_id"].alias("record_id"), languages.label(key["language"]).alias("named"), "langs", F.lit("book").alias("record_kind"))
+    return _further(c.select("record_kind", "record_id", "named", "langs").unionByName(b))
+
+
+def _further(records: DataFrame) -> DataFrame:
+    """A row for each language in the bits that the label does not name."""
+    each = F.array(*[F.when((F.col("langs").bitwiseAND(F.lit(1 << i)) != 0) & (F.coalesce("named", F.lit("")) != lang), F.lit(lang)) for i, lang in enumerate(languages.LANGUAGES)])
+    return records.select("record_kind", "record_id", F.explode(F.array_compact(each)).alias("lang"))
+
+
+def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language in the current chunks, with its confidence."""
+    table = _profiles(spark, d)
+    c = load(spark, d, "chunks").filter("id is not null").select("id", instant(F.col("indexed_at")).alias("at"), "text")
+    c = latest(c, ["id"], [F.col("at").desc_nulls_last(), F.xxhash64("text").desc()])
+    return languages.stretches(c.select("id", "text"), table, ["id"])
+
+
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each chunk: that of most of its text, with the share it
+    has there times its confidence."""
+    s = p6_stretches(spark, d).withColumn("n", F.col("stretch_end") - F.col("stretch_start"))
+    per = s.groupBy("id", "lang").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("c"))
+    all_ = per.groupBy("id").agg(F.sum("n").alias("total"), F.max(F.struct("n", "lang", "c")).alias("top"))
+    return all_.select("id", F.col("top.lang").alias("lang"), F.round(F.col("top.c") * F.col("top.n") / F.col("total"), 4).alias("confidence"))
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "search_hits").select("query_id", "id", *SCORES)
 
@@ -85,7 +140,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(load(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_turns, p2_sessions, p7_found, p7_ranking, p8_ids, p9_found, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_turns, p2_sessions, p4_found, p4_clean, p6_found, p6_stretches, p6_records, p7_found, p7_ranking, p8_ids, p9_found, p9_mixture, p9_shares, p10_found)}
 
 ORACLE = {
     "p1_found": """
