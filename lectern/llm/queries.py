@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import conversations, fusion, languages, markup, mixing, pieces, sentences, tokens
-from lectern.tables import current_catalogue, instant, latest, load
+from lectern.llm import conversations, fusion, languages, markup, mixing, neighbours, pieces, sentences, tokens
+from lectern.tables import current_catalogue, current_chunks, instant, latest, load
 
+#: Cosine from which a pair of chunks is reported.
+SIMILAR = 0.90
 SCORES = {"_distance": False, "_relevance_score": True, "_score": True}
 
 
@@ -39,6 +41,22 @@ def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("conv_id", "session").agg(F.count("*").alias("messages"), F.min("sent_at").alias("first_at"), F.max("sent_at").alias("last_at"))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = F.when(neighbours.usable(), F.col("vector")).alias("vector")
+    return current_chunks(load(spark, d, "chunks"), v).filter("vector is not null")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.Index(_vectors(spark, d), posted=2).neighbours(5, SIMILAR, least_overlap=4)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar other chunks of every chunk."""
+    index = neighbours.Index(_vectors(spark, d), n_pivots=256, posted=8, prefix=16)
+    return index.neighbours(5, probes=8)
+
+
 def _comments(spark: SparkSession, d: str) -> DataFrame:
     return current_catalogue(load(spark, d, "catalogue"), "comments_html").select("source_id", "comments_html")
 
@@ -140,7 +158,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(load(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_turns, p2_sessions, p4_found, p4_clean, p6_found, p6_stretches, p6_records, p7_found, p7_ranking, p8_ids, p9_found, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_turns, p2_sessions, p3_found, p3_neighbours, p4_found, p4_clean, p6_found, p6_stretches, p6_records, p7_found, p7_ranking, p8_ids, p9_found, p9_mixture, p9_shares, p10_found)}
 
 ORACLE = {
     "p1_found": """
@@ -166,6 +184,13 @@ ORACLE = {
         having bool_or(role is null) or bool_or(pos is null) or not bool_or(coalesce(role = 'human' and filled, false))
             or (platform = 'lesechat' and (count(distinct pos) < count(*) or min(pos) not in (0, 1) or max(pos) - min(pos) + 1 <> count(*)))
             or conv_id in (select conv_id from lack)""",
+    "p3_found": """
+        with c as (select id, cast(vector as double[]) v, row_number() over (partition by id order by indexed_at desc) rn from chunks where id is not null),
+        u as (select id, v, sqrt(list_dot_product(v, v)) n from c where rn = 1 and len(v) = 64
+                and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+        p as (select a.id a, b.id b, list_dot_product(a.v, b.v) / (a.n * b.n) s from u a join u b on a.id <> b.id),
+        r as (select a, b, s, row_number() over (partition by a order by s desc, b) k from p where s >= 0.9)
+        select distinct least(a, b) id_a, greatest(a, b) id_b from r where k <= 5""",
     "p7_found": """
         with h as (select query_id, id, min(case when isnan(_distance) then null else _distance end) d,
                      max(case when isnan(_relevance_score) then null else _relevance_score end) r, max(case when isnan(_score) then null else _score end) s
