@@ -1 +1 @@
-
+"""Column functions: text, hashes, sections, labels. All run inside the JVM."""

@@ -1,8 +1,8 @@
 """Registered queries of the core, each with its SQL where SQL can say it."""
 
-from lectern.plans import incremental
+from lectern.plans import incremental, retrieval
 
-MODULES = [incremental]
+MODULES = [incremental, retrieval]
 
 
 def queries() -> dict:

@@ -47,3 +47,33 @@ def current_chunks(df: DataFrame, *more: Column | str, keep: Column | None = Non
     rest = [c for c in d.columns if c not in ("id", "_at")]
     ties = [F.xxhash64(*rest).desc()] if rest else []
     return latest(d, ["id"], [F.col("_at").desc_nulls_last(), *ties]).drop("_at")
+
+
+#: Columns of the chunk table and what stands for a missing value.
+CHUNK_DEFAULTS = {
+    "text": "", "book_id": "", "book_title": "", "author": "", "publisher": "", "year": 0, "calibre_id": 0, "source_id": "", "tags": "", "language": "", "chunk_index": 0,
+    "chunk_type": "content", "page_number": 0, "page_label": "", "chapter": "", "section": "", "section_title": "", "section_type": "", "char_start": 0, "char_end": 0,
+    "parent_id": "", "annotation_type": "", "annotation_source": "", "annotation_hash": "", "source_file": "", "format": "", "indexed_at": "", "metadata_hash": "", "pending_external": 0,
+}
+
+
+def conform(df: DataFrame) -> DataFrame:
+    """Missing columns and null values get the table's defaults; further columns stay."""
+    have = set(df.columns)
+    out = {}
+    for c, default in CHUNK_DEFAULTS.items():
+        out[c] = F.coalesce(F.col(c), F.lit(default)) if c in have else F.lit(default)
+    return df.withColumns(out)
+
+
+def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current chunks with defaults. Columns that a query does not use are
+    pruned from the scan and the shuffle."""
+    c = load(spark, sf_dir, "chunks").filter(F.col("id").isNotNull())
+    return conform(latest(c, ["id"], [F.col("indexed_at").desc_nulls_last()]))
+
+
+def book_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current catalogue rows, one per document."""
+    c = load(spark, sf_dir, "catalogue").filter(F.col("source_id").isNotNull()).withColumn("modified", instant(F.col("modified_at")))
+    return latest(c, ["source_id"], [F.col("modified").desc_nulls_last()])
