@@ -1,8 +1,8 @@
 """Registered queries of the core, each with its SQL where SQL can say it."""
 
-from lectern.plans import incremental, retrieval
+from lectern.plans import catalogue, incremental, retrieval
 
-MODULES = [incremental, retrieval]
+MODULES = [incremental, retrieval, catalogue]
 
 
 def queries() -> dict:
