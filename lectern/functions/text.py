@@ -186,7 +186,7 @@ def window_text(full: Column, start: Column, end: Column, around: int = 500) ->
 
 def wikilinks(c: Column) -> Column:
     """Link targets, each once in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\[\[([^\]\|#]+)"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\[\[([^\]\|#]+)"), F.lit(1)), lambda x: F.trim(x)))
 
 
 def inline_tags(c: Column) -> Column:

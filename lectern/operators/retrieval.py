@@ -65,7 +65,7 @@ def source_filter(source_id: Column, catalogue_id: Column, wanted: str) -> Colum
 
 def tag_set(c: Column) -> Column:
     """Trimmed lower-case tags of a comma list."""
-    return F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), lambda x: F.trim(x)), lambda t: t != "")
 
 
 def has_tags(c: Column, wanted: Sequence[str]) -> Column:

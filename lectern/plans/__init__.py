@@ -1,8 +1,8 @@
 """Registered queries of the core, each with its SQL where SQL can say it."""
 
-from lectern.plans import catalogue, incremental, retrieval
+from lectern.plans import catalogue, incremental, retrieval, texts, upkeep
 
-MODULES = [incremental, retrieval, catalogue]
+MODULES = [incremental, retrieval, catalogue, upkeep, texts]
 
 
 def queries() -> dict:

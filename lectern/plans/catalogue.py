@@ -66,7 +66,7 @@ def ag18_latest(spark, d):
 
 
 def ag19_digest(spark, d):
-    c = load(spark, d, "index_log").dropDuplicates(["log_id"]).withColumn("week", F.date_trunc("week", "processed_at").cast("date"))
+    c = load(spark, d, "index_log").dropDuplicates(["log_id"]).withColumn("week", F.date_format(F.date_trunc("week", "processed_at"), "yyyy-MM-dd"))
     one = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0)).alias(s)
     return c.groupBy("week").agg(one("completed"), one("failed"), one("skipped"), F.count("*").alias("n"), F.max_by("run_id", F.struct("processed_at", "log_id")).alias("last_run"))
 
@@ -345,7 +345,7 @@ ORACLE = {
     "ag15_tags_min": f"select * from ({_each('tags', 'tag')}) where books >= 5 order by books desc, tag limit 20",
     "ag16_joined": f"{_B} select source_id, case when len(coalesce(authors, [])) = 0 then 'Unknown' else {_AUTH} end authors_text, array_to_string(list_sort(coalesce(tags, [])), chr(31)) tags_text from b",
     "ag18_latest": "select source_id, max(processed_at) latest from index_log where source_id is not null group by 1",
-    "ag19_digest": "with l as (select distinct on (log_id) * from index_log) select cast(date_trunc('week', processed_at) as date) as week, count(*) filter (where status = 'completed') completed, count(*) filter (where status = 'failed') failed, count(*) filter (where status = 'skipped') skipped, count(*) n, arg_max(run_id, (processed_at, log_id)) last_run from l group by 1",
+    "ag19_digest": "with l as (select distinct on (log_id) * from index_log) select strftime(date_trunc('week', processed_at), '%Y-%m-%d') as week, count(*) filter (where status = 'completed') completed, count(*) filter (where status = 'failed') failed, count(*) filter (where status = 'skipped') skipped, count(*) n, arg_max(run_id, (processed_at, log_id)) last_run from l group by 1",
     "ag20_same_title": f"{_B} select lower(title) title, count(*) n from b where title is not null group by 1 having count(*) > 1",
     "ag22_bundle": f"{_B} " + " union all ".join([*[f"select '{c}' metric, value, count(*) books from (select unnest(list_distinct(coalesce({c}, []))) value from b) group by 2" for c in ("authors", "tags")], *[f"select '{c}', cast({c} as varchar), count(*) from b where {c} is not null and cast({c} as varchar) <> '' group by 2" for c in ("publisher", "language", "series", "year", "file_format")]]),
     "wi9_priority": f"{_B} select source_id, row_number() over (order by case when source_id in ('b000000009', 'b000000004') then 0 else 1 end, case rating when 5 then 0 when 4 then 1 else 2 end, calibre_id desc, source_id) as position from b",
