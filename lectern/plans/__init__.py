@@ -1,8 +1,8 @@
 """Registered queries of the core, each with its SQL where SQL can say it."""
 
-from lectern.plans import catalogue, incremental, retrieval, texts, upkeep
+from lectern.plans import catalogue, incremental, retrieval, streams, texts, upkeep
 
-MODULES = [incremental, retrieval, catalogue, upkeep, texts]
+MODULES = [incremental, retrieval, catalogue, upkeep, texts, streams]
 
 
 def queries() -> dict:

@@ -252,7 +252,8 @@ def ex2_by_type(spark, d):
 
 
 def ex20_clean_lines(spark, d):
-    t = F.array_join(F.filter(F.transform(F.split("text", "\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n\n")
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    t = F.array_join(F.filter(F.transform(F.split("text", "\r?\n"), bare), lambda x: x != ""), "\n\n")
     return _docs(spark, d).select("doc_id", F.md5(t).alias("hash"))
 
 
@@ -286,7 +287,7 @@ ORACLE = {
     "tx8_runs": f"{_C}, a as (select book_id, chunk_index, id, case when coalesce(lag(section_type) over w, chr(1)) = section_type and coalesce(lag(chapter) over w, chr(1)) = chapter and coalesce(lag(section_title) over w, chr(1)) = section_title then 0 else 1 end n from ch window w as (partition by book_id order by chunk_index, id)) select book_id, sum(n)::bigint runs from a group by 1",
     "tx9_window": f"{_D}, a as (select doc_id, text, least(700, length(text)) lo, least(least(700, length(text)) + 300, length(text)) hi from dc) select doc_id, md5(substr(text, greatest(lo - 500, 0) + 1, hi + 500 - greatest(lo - 500, 0))) hash from a",
     "tx11_page_numbers": f"{_C}, a as (select id, page_label, string_split(text, chr(10)) l from ch) select id, md5(array_to_string(list_filter(l, lambda x, i: not (trim(x) = page_label and page_label <> '' and (i <= 3 or i > len(l) - 2))), chr(10))) hash from a",
-    "tx12_labels": rf"{_C} select id, regexp_extract(text, '^(\d{{1,4}})\s', 1) as "leading", regexp_extract(text, '\s(\d{{1,4}})\.?$', 1) as "trailing" from ch",
+    "tx12_labels": _C + r""" select id, regexp_extract(text, '^(\d{1,4})\s', 1) "leading", regexp_extract(text, '\s(\d{1,4})\.?$', 1) "trailing" from ch""",
     "tx14_sections": f"{_C} select distinct section_title title, case when {_KW('section_title', _BACK)} then 'back_matter' when {_KW('section_title', _FRONT)} then 'front_matter' else 'main_content' end by_toc, case when {_KW('section_title', _FRONT)} then 'front_matter' when {_KW('section_title', _BACK)} then 'back_matter' else 'main_content' end by_file from ch",
     "tx18_numbers": rf"{_C} select title, coalesce(nullif(regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]', 1), ''), nullif(regexp_extract(title, '(?i)^(?:chapter|section|kapitel|abschnitt)\s+(\d+)', 1), '')) number from (select distinct concat_ws(' ', chapter, section_title) title from ch)",
     "tx19_headings": rf"{_D}, p as (select doc_id, generate_subscripts(s, 1) pos, unnest(s) p from (select doc_id, regexp_split_to_array(text, '\n\s*\n') s from dc)), h as (select *, case when length(trim(p)) < 60 and not regexp_matches(trim(p), '[.!?…。！？।:]\s*\z') then 1 else 0 end h from p), s as (select *, sum(h) over (partition by doc_id order by pos) section from h) select doc_id, section::bigint section, count(*) paragraphs from s group by 1, 2",
@@ -316,7 +317,7 @@ ORACLE = {
     "sc31_flat": f"with {_T} select conv_id, turn, speaker, md5(coalesce(content, '')) hash from tn",
     "ex2_by_type": f"{_C} select annotation_type, count(*) n from ch where chunk_type = 'annotation' and book_id = 'b000000001' group by 1",
     "ex3_annotated": f"{_C} select book_id, count(*) n, max(indexed_at) latest from ch where chunk_type = 'annotation' group by 1",
-    "ex20_clean_lines": rf"{_D} select doc_id, md5(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10))) hash from dc",
+    "ex20_clean_lines": _D + r""" select doc_id, md5(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_replace(x, '^[\t\x0b\f\r \x{85}\p{Z}]+|[\t\x0b\f\r \x{85}\p{Z}]+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10))) hash from dc""",
     "ex24_markdown": f"with {_T} select conv_id, md5(string_agg('**' || speaker || ':** ' || coalesce(content, ''), chr(10) || chr(10) order by turn, msg_id)) hash, count(*) turns from tn group by 1",
     "ex33_codes": f"{_C} select distinct language, case language when 'en' then 'eng' when 'de' then 'deu' when 'fr' then 'fra' when 'es' then 'spa' when 'it' then 'ita' else 'und' end code from ch",
 }
