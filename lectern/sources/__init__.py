@@ -1 +1 @@
-
+"""Readers: folders, vaults, SQLite libraries, exports, prepared files."""
