@@ -62,16 +62,17 @@ def running_lines(pages: DataFrame, key: str, page: str, text: str, edge: int =
 def repaired_labels(pages: DataFrame, key: str, page: str, label: str, reach: int = 3, most: float = 5.0) -> DataFrame:
     """Printed page numbers: those that stray from their neighbours are taken
     out, gaps are filled along the line between the nearest kept ones, ends are
-    carried on by one a page. Done on all labels at once from their neighbours
-    as read, so the result does not depend on the order of repair."""
+    carried on by one a page. Done on all labels at once against the median
+    of their neighbours as read, so the result does not depend on the order of
+    repair and one stray label does not pull the others out."""
     v = F.col(label).try_cast("double")
     w = Window.partitionBy(key).orderBy(page)
     near = [F.lag("_v", k).over(w) + k for k in range(1, reach + 1)] + [F.lead("_v", k).over(w) - k for k in range(1, reach + 1)]
     d = pages.withColumn("_v", v).withColumn("_i", F.row_number().over(w))
     some = F.filter(F.array(*near), lambda x: x.isNotNull())
     d = d.withColumn("_near", some)
-    mean = F.when(F.size("_near") > 0, F.aggregate("_near", F.lit(0.0), lambda a, x: a + x) / F.size("_near"))
-    d = d.withColumn("_ok", F.when(mean.isNull() | (F.abs(F.col("_v") - mean) <= most), F.col("_v")))
+    middle = F.try_element_at(F.sort_array("_near"), F.floor((F.size("_near") + 1) / 2).cast("int"))
+    d = d.withColumn("_ok", F.when(middle.isNull() | (F.abs(F.col("_v") - middle) <= most), F.col("_v")))
     at = F.when(F.col("_ok").isNotNull(), F.struct("_i", "_ok"))
     lo, hi = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     d = d.withColumn("_lo", lo).withColumn("_hi", hi)

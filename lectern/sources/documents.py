@@ -27,6 +27,9 @@ class _Blocks(HTMLParser):
         self.tag, self.buf, self.loose, self.in_title = "", [], [], False
 
     def handle_starttag(self, tag, attrs):
+        if self.depth and self.tag == "p" and tag in ("p", "ul", "ol", "div", "table", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
+            self._close()  # these end an open paragraph
+            self.depth = 0
         if tag in DROPPED:
             self.skip += 1
         elif tag == "title":

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: The two languages of a reader's clippings.
 MONTHS_DE = dict(zip("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(), range(1, 13)))
-HEAD_EN = r"(?m)^- Your (Highlight|Note|Bookmark) (?:on|at) (?:page (\d+)(?:-\d+)? \| )?(?:Location (\d+)(?:-(\d+))?)?[^|\n]*\| Added on \w+, (\w+) (\d{1,2}), (\d{4}) (\d{1,2}:\d{2}:\d{2} [AP]M)"
-HEAD_DE = r"(?m)^- (?:Ihre|Ihr|Deine) (Markierung|Notiz|Lesezeichen)[^|\n]*?(?:Position (\d+)(?:-(\d+))?)?\s*\| Hinzugefügt am \w+, (\d{1,2})\. (\w+) (\d{4}) (\d{1,2}:\d{2}:\d{2})"
+HEAD_EN = r"(?mU)^- Your (Highlight|Note|Bookmark) (?:on|at) (?:page (\d+)(?:-\d+)? \| )?(?:Location (\d+)(?:-(\d+))?)?[^|\n]*\| Added on \w+, (\w+) (\d{1,2}), (\d{4}) (\d{1,2}:\d{2}:\d{2} [AP]M)"
+HEAD_DE = r"(?mU)^- (?:Ihre|Ihr|Deine) (Markierung|Notiz|Lesezeichen)[^|\n]*?(?:Position (\d+)(?:-(\d+))?)?\s*\| Hinzugefügt am \w+, (\d{1,2})\. (\w+) (\d{4}) (\d{1,2}:\d{2}:\d{2})"
 
 
 def clippings(files: DataFrame, text: str = "text") -> DataFrame:
