@@ -5,7 +5,8 @@ its allowed repeats. The whole part of the rate repeats every document; the
 rest is an inclusion probability. The cube method moves these probabilities
 through the null space of the constraints (tokens and documents taken) until
 each but a few is 0 or 1; the few of a block are gathered per source and moved
-again, and the last two are landed so that the token total comes out nearest.
+again, and the last two are landed by giving up one constraint after the other,
+so a source's tokens miss their target by less than two documents.
 
 A source's documents are spread over blocks of bounded size, so a source that
 holds a third of all rows is many blocks; what leaves a block undecided is at
@@ -76,16 +77,21 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     return p
 
 
-def land(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Decide the last undecided documents: the choice whose tokens come
-    nearest to what their probabilities promise."""
+def land(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide the last undecided documents without a bias: of two, the token
+    constraint is given up and the count kept; the last one is drawn."""
     p = p.copy()
-    left = np.flatnonzero((p > 0) & (p < 1))
-    if len(left):
-        want = float((p[left] * tokens[left]).sum())
-        choices = [[(m >> i) & 1 for i in range(len(left))] for m in range(1 << len(left))]
-        best = min(choices, key=lambda c: (abs(float(np.dot(c, tokens[left])) - want), sum(c)))
-        p[left] = best
+    left = [i for i in range(len(p)) if 0 < p[i] < 1]
+    while len(left) > 1:
+        a, b = left[:2]
+        up, down = min(1 - p[a], p[b]), min(p[a], 1 - p[b])
+        step = up if rng.random() * (up + down) < down else -down
+        p[a], p[b] = p[a] + step, p[b] - step
+        for i in (a, b):
+            p[i] = 0.0 if p[i] < EPS else 1.0 if p[i] > 1 - EPS else p[i]
+        left = [i for i in left if 0 < p[i] < 1]
+    for i in left:
+        p[i] = float(rng.random() < p[i])
     return p
 
 
@@ -124,7 +130,7 @@ def choose(sized: DataFrame, totals: DataFrame, seed: int = 1) -> DataFrame:
             rng = np.random.default_rng([ord(c) for c in word])
             p = flight(g["p"].to_numpy(), tokens, rng)
             if last:
-                p = land(p, tokens)
+                p = land(p, rng)
             return g.assign(p=p)[["source", "doc_id", "n_tokens", "whole", "p"]]
 
         return run

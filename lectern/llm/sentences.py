@@ -59,7 +59,7 @@ REPORTS = r"(?:と|って)|.{0,14}?(?:问道|說道|说道|問道|答道|喊道|
 OPEN, CLOSE = "([{（［【〔《〈「『‹", ")]}）］】〕》〉」』›"
 PAIR = dict(zip(OPEN, CLOSE))
 QUOTES = "\"“”„«»‘’'‚"
-BLANK_LINE = regex.compile(r"(?:\r\n|[\r\n  ])[^\S\r\n  ]*(?:(?:\r\n|[\r\n  ])[^\S\r\n  ]*)+")
+BLANK_LINE = regex.compile("(?>\r\n|[\r\n  ])[^\\S\r\n  ]*(?:(?>\r\n|[\r\n  ])[^\\S\r\n  ]*)+")
 CANDIDATE = regex.compile(r"[.!?…。！？｡؟।॥;;]+|(?<=[\p{Thai}])\s+(?=\S)")
 WORD_BEFORE = regex.compile(r"(?:[\p{L}\p{M}\p{N}°º]+(?:[.\-'’][ ]?)?)*[\p{L}\p{M}\p{N}°º]+$")
 URL_BEFORE = regex.compile(r"(?:https?://|www\.|[\w\-]+@|\w+\.\w{2,}/)\S*$", regex.I)
