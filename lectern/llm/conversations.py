@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ordered import gap_sessions
 from lectern.session import cut
 
 #: White space of a blank content, the no-break spaces included.
@@ -31,6 +32,8 @@ BLANK = r"^[\s   -     　\u0085\u001c-\u001f]*$"
 CHAIN_ARRAY = 20_000
 #: Positions of one window task; longer conversations are cut and joined again.
 SPAN = 50_000
+#: Stretch of a timed conversation, in microseconds.
+DAY = 86_400_000_000
 
 
 def bare_label(c: Column) -> Column:
@@ -138,7 +141,7 @@ def verdicts(m: DataFrame) -> DataFrame:
     base = base.join(repeats, "conv_id", "left").select("conv_id", "n", (F.col("unknown") | F.col("unplaced") | counted).alias("broken"), (~F.col("any_human")).alias("empty"))
     # The next speaker with content, by stretches of bounded length and then from stretch to stretch.
     s = o.filter(F.col("has_content") & F.col("role").isin("human", "assistant") & F.col("pos").isNotNull())
-    width = F.when(F.col("platform") == "pagechat", F.lit(86_400_000_000)).otherwise(F.lit(SPAN))
+    width = F.when(F.col("platform") == "pagechat", F.lit(DAY)).otherwise(F.lit(SPAN))
     s = s.select("conv_id", "msg_id", "role", "pos", F.floor(F.col("pos") / width).alias("span"))
     inner = Window.partitionBy("conv_id", "span").orderBy("pos", "msg_id")
     s = s.withColumn("next", F.lead("role").over(inner))
@@ -155,11 +158,16 @@ def left_out(m: DataFrame) -> DataFrame:
 def rebuild(m: DataFrame) -> DataFrame:
     """The turns of the conversations that are kept, once each and in order."""
     o = ordered(m).join(verdicts(m).filter("not (broken or empty or lacks_reply)").select("conv_id"), "conv_id", "left_semi")
+    # counters and chains are dense; times are counted day by day and carried on
     first = o.groupBy("conv_id").agg(F.min("pos").alias("_lo"))
-    o = o.join(first, "conv_id")
-    w = Window.partitionBy("conv_id").orderBy("pos", "msg_id")
-    dense = F.when(F.col("platform") == "pagechat", F.row_number().over(w)).otherwise(F.col("pos") - F.col("_lo") + 1)
-    return o.select("conv_id", dense.cast("bigint").alias("turn"), "msg_id", F.col("role").alias("speaker"), "content")
+    dense = o.filter("platform <> 'pagechat'").join(first, "conv_id").withColumn("turn", F.col("pos") - F.col("_lo") + 1)
+    timed = o.filter("platform = 'pagechat'").withColumn("_s", F.floor(F.col("pos") / DAY))
+    n = timed.groupBy("conv_id", "_s").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.select("conv_id", "_s", F.coalesce(before, F.lit(0)).alias("_b"))
+    timed = timed.withColumn("_i", F.row_number().over(Window.partitionBy("conv_id", "_s").orderBy("pos", "msg_id"))).join(n, ["conv_id", "_s"]).withColumn("turn", F.col("_b") + F.col("_i"))
+    cols = ["conv_id", F.col("turn").cast("bigint").alias("turn"), "msg_id", F.col("role").alias("speaker"), "content"]
+    return dense.select(*cols).unionByName(timed.select(*cols))
 
 
 def calibrated_gap(df: DataFrame, channel: list[str], at: str = "sent_at", least: float = 60.0) -> float:
@@ -167,9 +175,13 @@ def calibrated_gap(df: DataFrame, channel: list[str], at: str = "sent_at", least
     two heaps of the gaps' logarithms. Gaps are counted in 64 steps over all
     rows, so what reaches the driver is 64 numbers; without a valley between
     two heaps it is the longest gap, that is nothing is split."""
-    w = Window.partitionBy(*channel).orderBy(at)
-    gap = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
-    g = df.filter(F.col(at).isNotNull()).select((gap - F.lag(gap).over(w)).alias("g")).filter(F.col("g") > 0)
+    t = df.filter(F.col(at).isNotNull()).select(*channel, F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+    t = t.withColumn("s", F.floor(F.col("t") / DAY))
+    w = Window.partitionBy(*channel, "s").orderBy("t")
+    inside = t.select((F.col("t") - F.lag("t").over(w)).alias("g"))
+    days = t.groupBy(*channel, "s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    across = days.select((F.col("lo") - F.lag("hi").over(Window.partitionBy(*channel).orderBy("s"))).alias("g"))
+    g = inside.unionByName(across).select((F.col("g") / 1e6).alias("g")).filter(F.col("g") > 0)
     rows = g.select(F.least(F.floor(F.log2("g") * 2), F.lit(63)).alias("b")).filter("b >= 0").groupBy("b").count().collect()
     if not rows:
         return float("inf")
@@ -188,7 +200,7 @@ def calibrated_gap(df: DataFrame, channel: list[str], at: str = "sent_at", least
 
 def sessionize(df: DataFrame, channel: list[str], gap_seconds: float, at: str = "sent_at", tie: str = "msg_id") -> DataFrame:
     """Sessions of a channel: a silence longer than the gap starts a new one."""
-    w = Window.partitionBy(*channel).orderBy(F.col(at).asc_nulls_last(), tie)
-    t = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
-    d = df.withColumn("_new", (F.coalesce(t - F.lag(t).over(w), F.lit(0.0)) > gap_seconds).cast("int"))
-    return d.withColumn("session", F.sum("_new").over(w)).drop("_new")
+    if gap_seconds == float("inf"):
+        return df.withColumn("session", F.lit(0).cast("bigint"))
+    d = df.withColumn("_channel", F.to_json(F.struct(*channel)))
+    return gap_sessions(d, "_channel", at, tie, int(gap_seconds)).drop("_channel")

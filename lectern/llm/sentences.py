@@ -19,6 +19,7 @@ result; a null key: kept as null; extra columns: ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -187,7 +188,7 @@ def _evidence(text: str, lo: int, hi: int, i: int, j: int, end: int, start: int,
     before = text[i - 1] if i > lo else " "
     m = WORD_BEFORE.search(text, max(lo, i - 40), i)
     word = m[0] if m else ""
-    bare = word.replace(" ", "").lower()
+    bare = _even(word)
     tail = bare.rsplit(".", 1)[-1]
     if not gap and not quoted:
         if first.isdigit() and before.isdigit():
@@ -204,7 +205,7 @@ def _evidence(text: str, lo: int, hi: int, i: int, j: int, end: int, start: int,
                 return -9.0
             return 6.5
         if first.isdigit():
-            return 2.5 if len(tail) > 3 and not regex.search(r"\d", tail) else -9.0
+            return 2.5 if len(tail) > 2 and not regex.search(r"\d", tail) else -9.0
         if caseless:
             return -9.0 if regex.match(r"\p{Devanagari}|\p{Thai}", first) else 6.5
         return 2.0 if nxt in QUOTES or nxt in OPEN else -9.0
@@ -218,7 +219,7 @@ def _evidence(text: str, lo: int, hi: int, i: int, j: int, end: int, start: int,
         if SPACE.match(text, lo, hi).end() == m.start():
             return -9.0  # the number of a heading or list
         w = WORD.match(text, k, hi)
-        if w and w[0].lower() in MONTHS:
+        if w and _even(w[0]) in MONTHS:
             return -9.0
         if len(tail) <= 2 and text[lo : m.start()].rstrip()[-3:].lower() in ("am ", " am", "vom", "zum", "dem", "der", "des", "im", "bis"):
             return -9.0
@@ -237,11 +238,17 @@ def _evidence(text: str, lo: int, hi: int, i: int, j: int, end: int, start: int,
     return 7.0
 
 
+def _even(word: str) -> str:
+    """A word in small letters, without blanks, its accents joined to the letters."""
+    word = regex.sub(r"\s", "", word).lower()
+    return word if word.isascii() else unicodedata.normalize("NFC", word)
+
+
 def _compact(text: str, lo: int, i: int) -> str:
     """The abbreviation that ends before i with its spaced parts drawn together
     ("z. B" is z.b, "и т. д" is т.д)."""
     m = SPACED.search(text, max(lo, i - 24), i)
-    return regex.sub(r"\s", "", m[0]).lower() if m else ""
+    return _even(m[0]) if m else ""
 
 
 SPACED = regex.compile(r"(?<![\p{L}\p{M}])\p{L}{1,3}\.\s?(?:\p{L}{1,3}\.\s?)?\p{L}{1,3}$")
