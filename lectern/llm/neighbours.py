@@ -69,7 +69,7 @@ def matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def footrule_overlap(a: np.ndarray, b: np.ndarray, prefix: int, n_pivots: int) -> np.ndarray:
+def footrule_overlap(a: np.ndarray, b: np.ndarray, prefix: int) -> np.ndarray:
     """For each pair of permutations (rows of pivots, nearest first) what their
     footrule distance falls short of the farthest: the sum over shared pivots
     of prefix minus the later of the two places. Places not in a prefix count as
@@ -86,30 +86,36 @@ def footrule_overlap(a: np.ndarray, b: np.ndarray, prefix: int, n_pivots: int) -
 
 
 class Index:
-    """Pivots and the posting lists over them."""
+    """Pivots and the posting lists over them.
 
-    def __init__(self, vectors: DataFrame, id_col: str = "id", vector: str = "vector", n_pivots: int | None = None, posted: int = 2, prefix: int = PREFIX, dimension: int = DIMENSION, sample: int = SAMPLE):
+    The pivots are fitted on a bounded sample of ``fit_on`` (any rows with
+    vectors, by default those that are indexed), so that the rows themselves
+    are shuffled and written once."""
+
+    def __init__(self, vectors: DataFrame, id_col: str = "id", vector: str = "vector", n_pivots: int | None = None, posted: int = 5, prefix: int = PREFIX, dimension: int = DIMENSION, sample: int = SAMPLE, fit_on: DataFrame | None = None):
         self.spark = vectors.sparkSession
         self.prefix, self.posted, self.dim = prefix, min(posted, prefix), dimension
-        v = vectors.filter(F.col(id_col).isNotNull() & usable(vector, dimension))
-        v = v.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-        # copies of a vector are one entry; the key is 96 bits of its content
-        copy = F.concat_ws("-", F.hex(F.xxhash64("vector")), F.hex(F.hash("vector")))
-        v = v.withColumn("entry", copy)
-        self.rows = v.select("id", "entry")
-        first = v.groupBy("entry").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("vector", "id").alias("vector"))
-        self.entries = cut(first)
-        n = self.entries.count()
+        fit = (vectors if fit_on is None else fit_on).filter(usable(vector, dimension)).select(F.col(vector).cast("array<float>").alias("vector"))
+        n = fit.count()
         # enough pivots that a list does not grow with the collection, within what a broadcast may hold
         self.m = n_pivots or int(min(4096, max(16, 2 * np.sqrt(max(n, 1)))))
-        share = min(1.0, sample / max(n, 1)) * 2**31
-        picked = self.entries.withColumn("h", F.shiftrightunsigned(F.xxhash64("entry"), 33)).filter(F.col("h") <= F.lit(int(share))).orderBy("h", "entry").limit(sample).select("vector")
+        share = min(1.0, 1.1 * sample / max(n, 1)) * 2**31
+        picked = fit.withColumn("h", F.shiftrightunsigned(F.xxhash64("vector"), 33)).filter(F.col("h") <= F.lit(int(share))).orderBy("h").limit(sample).select("vector")
         got = picked.toPandas()["vector"].tolist() if n else []
         x = np.stack(got).astype(np.float32) if got else np.zeros((0, dimension), np.float32)
         self.pivots = pivots(_unit(x), self.m)
-
-    def permutations(self) -> DataFrame:
-        """(entry, vector as bytes, perm): the nearest pivots in order."""
+        v = vectors.filter(F.col(id_col).isNotNull() & usable(vector, dimension))
+        v = v.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+        # copies of a vector are one entry; the key is 96 bits of its content
+        v = v.select("id", F.concat(F.hex(F.xxhash64("vector")), F.lit("-"), F.substring(F.hex(F.hash("vector")), -8, 8)).alias("entry"), "vector")
+        self.all = cut(self._permutations(v))
+        many = self.all.groupBy("entry").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+        self.many = many.select("entry")
+        further = self.all.select("id", "entry").join(many, "entry").filter("id <> first").select("id")
+        self.entries = self.all.join(further, "id", "left_anti")
+
+    def _permutations(self, v: DataFrame) -> DataFrame:
+        """(id, entry, vector as bytes, perm as bytes, near): the nearest pivots in order."""
         shared, prefix, dim = self.spark.sparkContext.broadcast(self.pivots), self.prefix, self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,23 +124,23 @@ class Index:
             for b in batches:
                 for lo in range(0, b.num_rows, 2048):
                     part = b.slice(lo, 2048)
-                    x = matrix(part.column(1), dim)
+                    x = matrix(part.column(2), dim)
                     s = x @ c.T
                     near = np.argpartition(-s, p - 1, axis=1)[:, :p]
                     near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
                     if p < prefix:  # fewer pivots than places: pad with names that nobody shares
                         pad = -1 - (np.arange(len(x) * (prefix - p)).reshape(len(x), -1) % 30000)
                         near = np.concatenate([near, pad], axis=1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in near.astype(np.int16)], pa.binary()), pa.array(near[:, :prefix].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["entry", "vec", "perm", "near"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in near.astype(np.int16)], pa.binary()), pa.array(near[:, :prefix].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "entry", "vec", "perm", "near"])
 
-        return self.entries.select("entry", "vector").mapInArrow(run, "entry string, vec binary, perm binary, near array<int>")
+        return v.mapInArrow(run, "id string, entry string, vec binary, perm binary, near array<int>")
 
     def pairs(self, k: int, min_similarity: float = -1.0, least_overlap: int = 1, probes: int | None = None) -> DataFrame:
         """(entry, other, sim): for each entry the best k of each of its lists.
         Entries are posted under their ``posted`` nearest pivots and look into
         the lists of their ``probes`` nearest ones."""
         posted, probes, prefix = self.posted, probes or self.posted, self.prefix
-        perms = cut(self.permutations())
+        perms = self.entries
         width = max(posted, min(probes, prefix))
         post = perms.select("entry", "vec", "perm", F.posexplode(F.slice("near", 1, width)).alias("place", "pivot")).filter("pivot >= 0")
         size = perms.select(F.explode(F.slice("near", 1, posted)).alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(LIST)).alias("parts"))
@@ -171,10 +177,10 @@ class Index:
         w = Window.partitionBy("entry").orderBy(F.col("sim").desc(), "other")
         best = best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
         # of copies, the first k + 1 by id stand for all: no row needs more
-        many = self.entries.filter("copies > 1").select("entry")
+        many, rows = self.many, self.all.select("id", "entry")
         w = Window.partitionBy("entry").orderBy("id")
-        firsts = self.rows.join(many, "entry", "left_semi").withColumn("c", F.row_number().over(w)).filter(F.col("c") <= k + 1).select("entry", "id")
-        firsts = firsts.unionByName(self.entries.filter("copies = 1").select("entry", "id"))
+        firsts = rows.join(many, "entry", "left_semi").withColumn("c", F.row_number().over(w)).filter(F.col("c") <= k + 1).select("entry", "id")
+        firsts = firsts.unionByName(rows.join(many, "entry", "left_anti").select("entry", "id"))
         near = best.join(firsts.select(F.col("entry").alias("other"), F.col("id").alias("other_id")), "other").select("entry", "other_id", "sim")
         if min_similarity <= 1.0:
             twins = firsts.join(many, "entry", "left_semi").select("entry", F.col("id").alias("other_id"), F.lit(1.0).cast("float").alias("sim"))
@@ -182,7 +188,7 @@ class Index:
         # an entry's candidates are at most k entries of k + 1 rows and its own copies
         w = Window.partitionBy("entry").orderBy(F.col("sim").desc(), "other_id")
         near = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select("entry", "other_id", "sim")
-        out = self.rows.join(near, "entry").filter("id <> other_id")
+        out = rows.join(near, "entry").filter("id <> other_id")
         w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other_id")
         return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("id", F.col("other_id").alias("other"), "sim", "place")
 
@@ -236,7 +242,7 @@ def _search(rows: pa.Table, k: int, least: float, overlap: int, prefix: int, dim
         has = own >= 0
         sim[np.flatnonzero(has), own[has]] = -2.0
         if overlap > 1:
-            sim[footrule_overlap(perm[q], yp, prefix, 0) < overlap] = -2.0
+            sim[footrule_overlap(perm[q], yp, prefix) < overlap] = -2.0
         if least > -1.0:
             a, c = np.nonzero(sim >= least)
             if not len(a):

@@ -47,13 +47,13 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbours.Index(_vectors(spark, d), posted=2).neighbours(5, SIMILAR, least_overlap=4)
+    near = neighbours.Index(_vectors(spark, d), posted=5, fit_on=load(spark, d, "chunks").select("vector")).neighbours(5, SIMILAR, least_overlap=4)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar other chunks of every chunk."""
-    index = neighbours.Index(_vectors(spark, d), n_pivots=256, posted=8, prefix=16)
+    index = neighbours.Index(_vectors(spark, d), n_pivots=256, posted=8, prefix=16, fit_on=load(spark, d, "chunks").select("vector"))
     return index.neighbours(5, probes=8)
 
 

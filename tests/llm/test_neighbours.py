@@ -55,7 +55,7 @@ def test_copies_unusable_and_small(spark):
 
 def test_footrule():
     a, b = np.array([[3, 1, 2]]), np.array([[3, 1, 2], [1, 3, 9], [7, 8, 9]])
-    got = N.footrule_overlap(a, b, 3, 0)[0].tolist()
+    got = N.footrule_overlap(a, b, 3)[0].tolist()
     dist = [3 * 4 - 2 * g for g in got]
 
     def plain(p, q):
