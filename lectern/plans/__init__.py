@@ -1,8 +1,8 @@
 """Registered queries of the core, each with its SQL where SQL can say it."""
 
-from lectern.plans import catalogue, incremental, retrieval, sources, streams, texts, upkeep
+from lectern.plans import catalogue, incremental, more, retrieval, sources, streams, texts, upkeep
 
-MODULES = [incremental, retrieval, catalogue, upkeep, texts, sources, streams]
+MODULES = [incremental, retrieval, catalogue, upkeep, texts, sources, more, streams]
 
 
 def queries() -> dict:
