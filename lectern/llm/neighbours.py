@@ -96,7 +96,7 @@ class Index:
         self.spark = vectors.sparkSession
         self.prefix, self.posted, self.dim = prefix, min(posted, prefix), dimension
         fit = (vectors if fit_on is None else fit_on).filter(usable(vector, dimension)).select(F.col(vector).cast("array<float>").alias("vector"))
-        n = fit.count()
+        n = self.n = fit.count()
         # enough pivots that a list does not grow with the collection, within what a broadcast may hold
         self.m = n_pivots or int(min(4096, max(16, 2 * np.sqrt(max(n, 1)))))
         share = min(1.0, 1.1 * sample / max(n, 1)) * 2**31
@@ -159,7 +159,9 @@ class Index:
             for rows in _runs(batches):
                 yield from _search(rows, k, min_similarity, least_overlap, prefix, dim)
 
-        lists = post.select("pivot", "part", "slot", "entry", "vec", "perm", "listed", "asks").repartition(shuffle_width(self.spark), "pivot", "part", "slot").sortWithinPartitions("pivot", "part", "slot")
+        # about 320 bytes a posting, 32 MB a task
+        width_ = max(shuffle_width(self.spark), int(width * self.n * 320 / 32e6) + 1)
+        lists = post.select("pivot", "part", "slot", "entry", "vec", "perm", "listed", "asks").repartition(width_, "pivot", "part", "slot").sortWithinPartitions("pivot", "part", "slot")
         return lists.mapInArrow(run, "entry string, other string, sim float")
 
     def _replicate(self, post: DataFrame) -> DataFrame:
