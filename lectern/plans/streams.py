@@ -45,6 +45,13 @@ def st5_dedup(spark, d):
     return S.run(S.dedup(_e(spark, d), ["event_id"]).select("event_id"))
 
 
+def st6_signatures(spark, d):
+    """Whether an item's signature changed since it was last seen (rows only:
+    the state is custom)."""
+    e = _e(spark, d).select(F.col("user_id").cast("string").alias("item"), F.col("event_id").alias("mtime"), F.length("event_type").cast("bigint").alias("size"))
+    return S.run(S.signature_cache(e))
+
+
 ORACLE = {
     "st1_ingest": "select event_id, event_type from events where event_type is not null",
     "st2_upsert": "select user_id, max(ts) ts from events group by 1",
@@ -53,4 +60,4 @@ ORACLE = {
     "st4_sessions": "with a as (select *, case when ts - lag(ts) over (partition by user_id order by ts) > interval 30 minute then 1 else 0 end n from events where ts is not null), b as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) s from a) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) events from b group by user_id, s",
     "st5_dedup": "select distinct event_id from events",
 }
-QUERIES = {k: f for k, f in list(globals().items()) if k in ORACLE and callable(f)}
+QUERIES = {k: f for k, f in list(globals().items()) if (k in ORACLE or k == "st6_signatures") and callable(f)}
