@@ -57,6 +57,9 @@ class _Blocks(HTMLParser):
             self.depth -= 1
             if self.depth == 0:
                 self._close()
+        elif tag in ("ul", "ol") and self.depth and self.tag == "li":
+            self._close()  # ends an open item
+            self.depth = 0
         elif tag == "div" and not self.depth:
             self._loose()
         elif self.marks and tag in MARKS:
