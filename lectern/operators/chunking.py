@@ -31,8 +31,9 @@ def fixed(df: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50
 
 def exchanges(messages: DataFrame) -> DataFrame:
     """Dialogue chunks: a user's turns up to and with the replies after them. A
-    new exchange starts at a user turn that follows a reply."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    new exchange starts at a user turn that follows a reply; equal turns go by the
+    message's number."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "msg_id")
     new = ((F.col("speaker") == "human") & (F.coalesce(F.lag("speaker").over(w), F.lit("assistant")) != "human")).cast("int")
     d = messages.withColumn("_n", new).withColumn("exchange", F.sum("_n").over(w))
     return d.drop("_n")

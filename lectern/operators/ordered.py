@@ -71,7 +71,7 @@ def repaired_labels(pages: DataFrame, key: str, page: str, label: str, reach: in
     d = pages.withColumn("_v", v).withColumn("_i", F.row_number().over(w))
     some = F.filter(F.array(*near), lambda x: x.isNotNull())
     d = d.withColumn("_near", some)
-    middle = F.try_element_at(F.sort_array("_near"), F.floor((F.size("_near") + 1) / 2).cast("int"))
+    middle = F.try_element_at(F.sort_array("_near"), F.greatest(F.floor((F.size("_near") + 1) / 2).cast("int"), F.lit(1)))
     d = d.withColumn("_ok", F.when(middle.isNull() | (F.abs(F.col("_v") - middle) <= most), F.col("_v")))
     at = F.when(F.col("_ok").isNotNull(), F.struct("_i", "_ok"))
     lo, hi = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))

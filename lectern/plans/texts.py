@@ -283,7 +283,7 @@ _ASOF = f"{_C}, {_TOC}, mp as (select c.id, c.page_number, c.chapter, (select ar
 
 ORACLE = {
     "tx1_fixed": f"{_C}, k as (select id, text, unnest(generate_series(0, greatest(cast(ceil((length(text) - 50) / 450.0) as bigint) - 1, 0))) i from ch where length(text) > 0) select id, i::integer chunk_index, (i * 450)::integer as start, md5(substr(text, i * 450 + 1, 500)) hash from k",
-    "tx4_exchanges": f"with {_T}, a as (select *, case when speaker = 'human' and coalesce(lag(speaker) over (partition by conv_id order by turn), 'assistant') <> 'human' then 1 else 0 end n from tn), b as (select *, sum(n) over (partition by conv_id order by turn) exchange from a) select conv_id, exchange::bigint exchange, count(*) turns, min(turn) first_turn from b group by 1, 2",
+    "tx4_exchanges": f"with {_T}, a as (select *, case when speaker = 'human' and coalesce(lag(speaker) over (partition by conv_id order by turn, msg_id), 'assistant') <> 'human' then 1 else 0 end n from tn), b as (select *, sum(n) over (partition by conv_id order by turn, msg_id) exchange from a) select conv_id, exchange::bigint exchange, count(*) turns, min(turn) first_turn from b group by 1, 2",
     "tx8_runs": f"{_C}, a as (select book_id, chunk_index, id, case when coalesce(lag(section_type) over w, chr(1)) = section_type and coalesce(lag(chapter) over w, chr(1)) = chapter and coalesce(lag(section_title) over w, chr(1)) = section_title then 0 else 1 end n from ch window w as (partition by book_id order by chunk_index, id)) select book_id, sum(n)::bigint runs from a group by 1",
     "tx9_window": f"{_D}, a as (select doc_id, text, least(700, length(text)) lo, least(least(700, length(text)) + 300, length(text)) hi from dc) select doc_id, md5(substr(text, greatest(lo - 500, 0) + 1, hi + 500 - greatest(lo - 500, 0))) hash from a",
     "tx11_page_numbers": f"{_C}, a as (select id, page_label, string_split(text, chr(10)) l from ch) select id, md5(array_to_string(list_filter(l, lambda x, i: not (trim(x) = page_label and page_label <> '' and (i <= 3 or i > len(l) - 2))), chr(10))) hash from a",
