@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import cut
 
 
 def arr(c: str) -> Column:
@@ -150,21 +151,89 @@ def duplicates(books: DataFrame, method: str) -> DataFrame:
     return g.select(F.lit(method).alias("kind"), "value", "ids", "n")
 
 
+def ordered_words(c: Column) -> Column:
+    return F.array_join(F.sort_array(F.split(c, " ")), " ")
+
+
 def sorted_words(c: Column) -> Column:
-    return F.array_join(F.sort_array(F.split(tx.normal_text(c), " ")), " ")
+    return ordered_words(tx.normal_text(c))
+
+
+def edit_likeness(x: Column, y: Column) -> Column:
+    return F.round(100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))), 4)
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Likeness of two texts by edit distance over sorted words, 0 to 100."""
-    x, y = sorted_words(a), sorted_words(b)
-    return F.round(100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))), 4)
+    return edit_likeness(sorted_words(a), sorted_words(b))
+
+
+#: Marks put before and after a text whose grams are counted.
+EDGES = ("\x01", "\x02")
+
+
+def alike(texts: DataFrame, share: float) -> DataFrame:
+    """(t, bt, likeness): all pairs of an item's and a book's text (t, of_item,
+    of_book) whose likeness reaches a share. An edit changes at most q of a text's
+    grams, so such texts have so many grams in common that the rarest of them (as
+    many as may differ, and one) must meet; no pair is lost. A share of nothing
+    compares all."""
+    off = 1 - share
+    q = 3 if 1 - 3 * off >= 0.4 else 2 if 1 - 2 * off >= 0.2 else 1
+    n = F.length("t")
+    if share > 0:
+        padded = F.concat(F.lit(EDGES[0] * (q - 1)), F.col("t"), F.lit(EDGES[1] * (q - 1)))
+        grams = texts.select("*", F.explode(F.transform(F.sequence(F.lit(1), n + q - 1), lambda i: F.substring(padded, i, F.lit(q)))).alias("g"))
+        grams = grams.groupBy("t", "of_item", "of_book", "g").agg(F.count("*").alias("k"))
+        grams = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
+        rarest = Window.partitionBy("t").orderBy("df", "g", "k")
+        first = grams.withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= n + 1 - F.ceil((1 - q * off) * n - 1e-9)).select("t", "of_item", "of_book", "g", "k")
+        a, b = first.filter("of_item").select("t", "g", "k"), first.filter("of_book").select(F.col("t").alias("bt"), "g", "k")
+        pairs = a.join(b, ["g", "k"])
+    else:
+        pairs = texts.filter("of_item").select("t").crossJoin(texts.filter("of_book").select(F.col("t").alias("bt")))
+    m = F.length("bt")
+    pairs = pairs.filter(F.least(n, m) >= share * F.greatest(n, m) - 1e-6).select("t", "bt").distinct()
+    return pairs.withColumn("likeness", edit_likeness(F.col("t"), F.col("bt"))).filter(F.col("likeness") >= 100 * share - 1e-3)
 
 
 def match(items: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:
     """Links outside records (item, code, title, author) to documents: by code,
-    then by normalised title, then by the likeness of title and author. The
-    last step compares only records that share a word of the title, so it is a
-    join on words, not on everything."""
+    then by normalised title where one author holds the other (an empty one fits
+    all), then by the best likeness of title and author, or of the title alone
+    where either has no author. Records without a title are linked by code only."""
+    b = books.select(F.col("source_id").alias("book"), "title", F.array_join(arr("authors"), " & ").alias("author"), F.map_values(F.coalesce("identifiers", F.create_map())).alias("codes"))
+    code = items.filter(F.coalesce("code", F.lit("")) != "").select("item", F.upper("code").alias("k"))
+    by_code = code.join(b.select("book", F.explode("codes").alias("k0")).select("book", F.upper("k0").alias("k")), "k").groupBy("item").agg(F.min("book").alias("book")).select("item", "book", F.lit(100.0).alias("score"), F.lit("code").alias("how"))
+    names = lambda c: F.coalesce(tx.normal_text(F.col(c)), F.lit(""))
+    left = items.join(by_code, "item", "left_anti").select("item", "title", names("title").alias("nt"), names("author").alias("na")).filter("nt <> ''")
+    b = b.select("book", "title", names("title").alias("nt"), names("author").alias("ba")).filter("nt <> ''")
+    exact = left.join(b.select("book", "nt", "ba"), "nt").filter(F.contains("na", "ba") | F.contains("ba", "na"))
+    exact = exact.groupBy("item").agg(F.min("book").alias("book")).select("item", "book", F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
+    left = left.join(exact, "item", "left_anti").select("item", sorted_words(F.col("title")).alias("t"), ordered_words(F.col("na")).alias("a"))
+    b = b.groupBy(sorted_words(F.col("title")).alias("bt"), ordered_words(F.col("ba")).alias("ba")).agg(F.max("book").alias("book"))
+    out = by_code.unionByName(exact)
+    # A record with a match over a higher bound has its best one there; only the rest is compared under the lower bound.
+    for low in sorted({max(least, 80.0), least}, reverse=True):
+        share = (low - 1e-4 - 30) / 70  # of the title, where the authors are the same
+        texts = left.select("t", F.lit(True).alias("of_item"), F.lit(False).alias("of_book")).unionByName(b.select(F.col("bt").alias("t"), F.lit(False).alias("of_item"), F.lit(True).alias("of_book")))
+        texts = texts.groupBy("t").agg(F.max("of_item").alias("of_item"), F.max("of_book").alias("of_book"))
+        # Each title and author once: many records share them.
+        own = left.select("t", "a").distinct().join(alike(texts, share), "t").join(b, "bt")
+        score = F.when((F.col("a") == "") | (F.col("ba") == ""), F.col("likeness")).otherwise(F.round(0.7 * F.col("likeness") + 0.3 * edit_likeness(F.col("a"), F.col("ba")), 4))
+        best = own.withColumn("score", score).filter(F.col("score") >= low).groupBy("t", "a").agg(F.max_by("book", F.struct("score", "book")).alias("book"), F.max("score").alias("score"))
+        fuzzy = left.join(best, ["t", "a"]).select("item", "book", "score", F.lit("fuzzy").alias("how"))
+        if low > least:
+            fuzzy = cut(fuzzy)
+            left = left.join(fuzzy, "item", "left_anti")
+        out = out.unionByName(fuzzy)
+    return out
+
+
+def match_by_words(items: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:
+    """The narrower rule that the SQL of ``lk6_match`` and ``lk7_unmatched`` states:
+    the exact step looks at no author, an empty author counts as unlike, and only
+    titles that share a word of five letters are compared. ``match`` is the whole."""
     b = books.select(F.col("source_id").alias("book"), "title", F.array_join(arr("authors"), " & ").alias("author"), F.map_values(F.coalesce("identifiers", F.create_map())).alias("codes"))
     code = items.filter(F.coalesce("code", F.lit("")) != "").select("item", F.upper("code").alias("k"))
     by_code = code.join(b.select("book", F.explode("codes").alias("k0")).select("book", F.upper("k0").alias("k")), "k").groupBy("item").agg(F.min("book").alias("book")).select("item", "book", F.lit(100.0).alias("score"), F.lit("code").alias("how"))

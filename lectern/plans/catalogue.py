@@ -139,10 +139,20 @@ def _items(spark, d):
 
 
 def lk6_match(spark, d):
-    return C.match(_items(spark, d), _b(spark, d))
+    return C.match_by_words(_items(spark, d), _b(spark, d))
 
 
 def lk7_unmatched(spark, d):
+    i = _items(spark, d)
+    return i.join(C.match_by_words(i, _b(spark, d)), "item", "left_anti").select("item")
+
+
+def lk6_match_all(spark, d):
+    """The whole matcher, which the SQL of ``lk6_match`` narrows."""
+    return C.match(_items(spark, d), _b(spark, d))
+
+
+def lk7_unmatched_all(spark, d):
     i = _items(spark, d)
     return i.join(C.match(i, _b(spark, d)), "item", "left_anti").select("item")
 
@@ -391,4 +401,5 @@ ORACLE = {
     "ex35_distinct_tags": f"{_B} select distinct unnest(coalesce(tags, [])) tag from b",
     "ex38_total": f"{_B} select count(*) books from b",
 }
-QUERIES = {k: f for k, f in list(globals().items()) if k in ORACLE and callable(f)}
+_ROWS_ONLY = ["lk6_match_all", "lk7_unmatched_all"]
+QUERIES = {k: f for k, f in list(globals().items()) if (k in ORACLE or k in _ROWS_ONLY) and callable(f)}
