@@ -7,6 +7,7 @@ the sums are carried from stretch to stretch.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +91,55 @@ def is_toc_marker(text: Column, note: Column, position: Column, spine: Column) -
     n = F.length(F.coalesce(text, F.lit("")))
     none = F.coalesce(note, F.lit("")) == ""
     return ((n < 20) & none) | ((n < 50) & tx.has_keyword(text, tx.TOC_WORDS)) | F.coalesce(position < 0.05, F.lit(False)) | F.coalesce(spine == 0, F.lit(False))
+
+
+def _places(ids: pd.Series, parents: pd.Series) -> pd.Series:
+    """Place of each message in its tree: a message before its replies, one
+    branch after the other, each list in the order given. A missing parent makes
+    a start; a ring is entered at its first message."""
+    out = []
+    for names, ups in zip(ids, parents):
+        known = set(names)
+        below: dict = {}
+        for a, b in zip(names, ups):
+            below.setdefault(b if b in known else None, []).append(a)
+        place: dict = {}
+        for start in [*below.get(None, []), *names]:
+            todo = [start]
+            while todo:
+                at = todo.pop()
+                if at not in place:
+                    place[at] = len(place)
+                    todo += reversed(below.get(at, []))
+        out.append([place[a] for a in names])
+    return pd.Series(out, dtype=object)
+
+
+def turns(messages: DataFrame, alias: DataFrame) -> DataFrame:
+    """(conv_id, msg_id, turn, speaker, content): every message of every platform
+    in its own platform's order: the counter, the parent links or the time. What
+    that order leaves out (no counter, no time) follows after the rest, by time and
+    number. Of a message loaded again the first counts; a message without a number
+    is one of its own; without a conversation there is no turn. A conversation is ordered within one
+    task, as its exchanges and exports are."""
+    cols = ["conv_id", "msg_id", "platform", "speaker", "content", "seq", "parent_msg_id", "sent_at"]
+    key = F.coalesce(F.col("msg_id").cast("string"), F.concat(F.lit("x"), F.xxhash64(*cols).cast("string")))
+    first = Window.partitionBy("key").orderBy(F.col("loaded_at").asc_nulls_last(), F.xxhash64(*cols))
+    m = messages.filter("conv_id is not null").select(*cols, "loaded_at", key.alias("key")).withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn", "loaded_at")
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[*\[\](){}<>_#:\s\u00a0]+", " "))
+    roles = alias.groupBy(bare(F.col("alias_form")).alias("_label")).agg(F.max("speaker_role").alias("role"))
+    m = m.withColumn("_label", bare(F.col("speaker"))).join(F.broadcast(roles), "_label", "left")
+    when = [F.col("sent_at").asc_nulls_last(), F.col("msg_id").asc_nulls_last(), F.col("key")]
+    tree = F.coalesce(F.col("platform"), F.lit("")) == "treetalk"
+    each = m.filter(tree).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("sent_at").isNull().alias("late"), "sent_at", "msg_id", "key", F.col("parent_msg_id").cast("string").alias("up")))).alias("m"))
+    each = each.withColumn("place", F.pandas_udf(_places, "array<int>")(F.col("m.key"), F.col("m.up")))
+    each = each.select("conv_id", F.explode(F.arrays_zip(F.col("m.key").alias("key"), F.col("place").alias("turn"))).alias("x")).select("conv_id", "x.key", "x.turn")
+    trees = m.filter(tree).join(each, ["conv_id", "key"])
+    w = Window.partitionBy("conv_id", "platform")
+    counted = (F.coalesce(F.col("platform"), F.lit("")) != "pagechat") & F.col("seq").isNotNull()
+    rest = m.filter(~tree).withColumn("_c", counted)
+    rest = rest.withColumn("_k", F.row_number().over(Window.partitionBy("conv_id", "platform", "_c").orderBy(*when)))
+    top = F.coalesce(F.max(F.when(F.col("_c"), F.col("seq"))).over(w), F.lit(-1))
+    rest = rest.withColumn("turn", F.when(F.col("_c"), F.col("seq")).otherwise(top + F.col("_k")).cast("int")).drop("_c", "_k")
+    every = trees.unionByName(rest)
+    return every.select("conv_id", "msg_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), "content")

@@ -29,6 +29,11 @@ def _turns(spark, d):
     return m.select("conv_id", "msg_id", F.col("seq").alias("turn"), F.coalesce("speaker_role", F.lit("unknown")).alias("speaker"), "content")
 
 
+def _all_turns(spark, d):
+    """The turns of every platform; those of the SQL are one platform's."""
+    return O.turns(load(spark, d, "chat_messages"), load(spark, d, "speaker_alias"))
+
+
 def tx1_fixed(spark, d):
     return K.fixed(_c(spark, d).filter("length(text) > 0"), "id", "text", 500, 50).select("id", "chunk_index", "start", F.md5("chunk").alias("hash"))
 
@@ -42,12 +47,20 @@ def tx3_markdown(spark, d):
     return K.chunk(t, "source_id", "comments_html", "markdown")
 
 
+def _exchanges(turns):
+    return K.exchanges(turns).groupBy("conv_id", "exchange").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
+
+
 def tx4_exchanges(spark, d):
-    return K.exchanges(_turns(spark, d)).groupBy("conv_id", "exchange").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
+    return _exchanges(_turns(spark, d))
+
+
+def tx4_exchanges_all(spark, d):
+    return _exchanges(_all_turns(spark, d))
 
 
 def tx4_dialogue(spark, d):
-    t = _turns(spark, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "msg_id", "speaker", "content"))), lambda x: F.concat(F.lit("**"), F.when(x["speaker"] == "human", "User").otherwise("Assistant"), F.lit(":** "), F.coalesce(x["content"], F.lit("")))), "\n\n").alias("text"))
+    t = _all_turns(spark, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "msg_id", "speaker", "content"))), lambda x: F.concat(F.lit("**"), F.when(x["speaker"] == "human", "User").otherwise("Assistant"), F.lit(":** "), F.coalesce(x["content"], F.lit("")))), "\n\n").alias("text"))
     return K.chunk(t, "conv_id", "text", "dialogue")
 
 
@@ -235,14 +248,21 @@ def sc27_sidecars(spark, d):
     return _c(spark, d).select("source_file").distinct().select("source_file", F.concat(F.sha2("source_file", 256), F.lit(".json")).alias("sidecar"))
 
 
-def sc31_flat(spark, d):
+def _flat(turns):
     """Messages of a flat export: a JSON list per conversation, parsed again."""
-    t = _turns(spark, d)
-    j = t.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "speaker", "content")))).alias("j"))
+    j = turns.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "speaker", "content")))).alias("j"))
     m = j.select("conv_id", F.explode(F.from_json("j", "array<struct<turn:int,speaker:string,content:string>>")).alias("m"))
     return m.select("conv_id", "m.turn", "m.speaker", F.md5(F.coalesce("m.content", F.lit(""))).alias("hash"))
 
 
+def sc31_flat(spark, d):
+    return _flat(_turns(spark, d))
+
+
+def sc31_flat_all(spark, d):
+    return _flat(_all_turns(spark, d))
+
+
 def ex3_annotated(spark, d):
     return _c(spark, d).filter("chunk_type = 'annotation'").groupBy("book_id").agg(F.count("*").alias("n"), F.max("indexed_at").alias("latest"))
 
@@ -257,10 +277,17 @@ def ex20_clean_lines(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(t).alias("hash"))
 
 
-def ex24_markdown(spark, d):
-    t = _turns(spark, d)
+def _markdown(turns):
     line = F.transform(F.array_sort(F.collect_list(F.struct("turn", "msg_id", "speaker", "content"))), lambda x: F.concat(F.lit("**"), x["speaker"], F.lit(":** "), F.coalesce(x["content"], F.lit(""))))
-    return t.groupBy("conv_id").agg(F.md5(F.array_join(line, "\n\n")).alias("hash"), F.count("*").alias("turns"))
+    return turns.groupBy("conv_id").agg(F.md5(F.array_join(line, "\n\n")).alias("hash"), F.count("*").alias("turns"))
+
+
+def ex24_markdown(spark, d):
+    return _markdown(_turns(spark, d))
+
+
+def ex24_markdown_all(spark, d):
+    return _markdown(_all_turns(spark, d))
 
 
 def ex33_codes(spark, d):
@@ -321,5 +348,5 @@ ORACLE = {
     "ex24_markdown": f"with {_T} select conv_id, md5(string_agg('**' || speaker || ':** ' || coalesce(content, ''), chr(10) || chr(10) order by turn, msg_id)) hash, count(*) turns from tn group by 1",
     "ex33_codes": f"{_C} select distinct language, case language when 'en' then 'eng' when 'de' then 'deu' when 'fr' then 'fra' when 'es' then 'spa' when 'it' then 'ita' else 'und' end code from ch",
 }
-_ROWS_ONLY = ["tx2_paragraphs", "tx3_markdown", "tx4_dialogue", "tx6_words", "tx8_parents", "tx13_roman", "wi15_labels"]
+_ROWS_ONLY = ["tx2_paragraphs", "tx3_markdown", "tx4_dialogue", "tx4_exchanges_all", "sc31_flat_all", "ex24_markdown_all", "tx6_words", "tx8_parents", "tx13_roman", "wi15_labels"]
 QUERIES = {k: f for k, f in list(globals().items()) if (k in ORACLE or k in _ROWS_ONLY) and callable(f)}
