@@ -130,25 +130,29 @@ def lk4_fuzzy_method(spark, d):
     return C.duplicates(_b(spark, d), "fuzzy")
 
 
-def _items(spark, d):
+def _items(spark, d, which="true"):
     """Outside records made from the catalogue: every third keeps its title,
     every third has it in capitals, every third has lost its first letter."""
     b = _b(spark, d)
     t = F.when(F.col("calibre_id") % 3 == 0, F.col("title")).when(F.col("calibre_id") % 3 == 1, F.upper("title")).otherwise(F.expr("substring(title, 2)"))
-    return b.filter("calibre_id % 5 = 1").select(F.col("source_id").alias("item"), F.lit(None).cast("string").alias("code"), t.alias("title"), F.array_join(C.arr("authors"), " & ").alias("author"))
+    return b.filter(which).select(F.col("source_id").alias("item"), F.lit(None).cast("string").alias("code"), t.alias("title"), F.array_join(C.arr("authors"), " & ").alias("author"))
+
+
+#: The documents that the SQL of lk6_match and lk7_unmatched takes.
+SQL_ITEMS = "calibre_id % 5 = 1"
 
 
 def lk6_match(spark, d):
-    return C.match_by_words(_items(spark, d), _b(spark, d))
+    return C.match_by_words(_items(spark, d, SQL_ITEMS), _b(spark, d))
 
 
 def lk7_unmatched(spark, d):
-    i = _items(spark, d)
+    i = _items(spark, d, SQL_ITEMS)
     return i.join(C.match_by_words(i, _b(spark, d)), "item", "left_anti").select("item")
 
 
 def lk6_match_all(spark, d):
-    """The whole matcher, which the SQL of ``lk6_match`` narrows."""
+    """The whole matcher over every document; the SQL of ``lk6_match`` narrows both."""
     return C.match(_items(spark, d), _b(spark, d))
 
 

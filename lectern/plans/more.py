@@ -84,9 +84,9 @@ def jo8_full(spark, d):
 
 
 def jo10_fuzzy(spark, d):
-    """Best match of each title among the others that share a long word."""
+    """Best match of each title, with a letter more, among all documents."""
     b = book_view(spark, d)
-    i = b.filter("calibre_id % 10 = 3").select(F.concat(F.lit("i"), "source_id").alias("item"), F.lit(None).cast("string").alias("code"), F.concat("title", F.lit("x")).alias("title"), F.array_join(C.arr("authors"), " & ").alias("author"))
+    i = b.select(F.concat(F.lit("i"), "source_id").alias("item"), F.lit(None).cast("string").alias("code"), F.concat("title", F.lit("x")).alias("title"), F.array_join(C.arr("authors"), " & ").alias("author"))
     return C.match(i, b, 60.0).select("item", "score", "how")
 
 
@@ -304,8 +304,16 @@ def _items(spark, d):
 
 
 def ex29_instruction(spark, d):
-    b = book_view(spark, d)
-    return b.filter("calibre_id <= 20").select("source_id", F.concat(F.lit("Add the tag to "), "title", F.lit(" (now: "), F.array_join(C.arr("tags"), ", "), F.lit(")")).alias("instruction"))
+    return _instruction(book_view(spark, d).filter("calibre_id <= 20"))
+
+
+def ex29_instruction_all(spark, d):
+    """Every document; the SQL of ``ex29_instruction`` takes twenty."""
+    return _instruction(book_view(spark, d))
+
+
+def _instruction(b):
+    return b.select("source_id", F.concat(F.lit("Add the tag to "), "title", F.lit(" (now: "), F.array_join(C.arr("tags"), ", "), F.lit(")")).alias("instruction"))
 
 
 def ex31_counters(spark, d):
@@ -382,5 +390,5 @@ ORACLE = {
     "ex32_classes": "select * from (values ('cuda', 6, 'minimal'), ('cuda', 12, 'balanced'), ('cuda', 24, 'maximal'), ('mps', 0, 'balanced'), ('cpu', 0, 'minimal')) v(device, gb, profile)",
     "ex37_sources": f"{PR._FED} select id, rk as rank from fe where source = 'b'",
 }
-_ROWS_ONLY = ["jo10_fuzzy", "wi12_quality", "re11_cited", "tx10_paragraphs", "tx15_pages", "tx20_comments", "ex16_book_ids", "ex28_import"]
+_ROWS_ONLY = ["jo10_fuzzy", "wi12_quality", "re11_cited", "tx10_paragraphs", "tx15_pages", "tx20_comments", "ex16_book_ids", "ex28_import", "ex29_instruction_all"]
 QUERIES = {k: f for k, f in list(globals().items()) if (k in ORACLE or k in _ROWS_ONLY) and callable(f)}

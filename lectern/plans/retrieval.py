@@ -62,8 +62,8 @@ def re4_search_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 
 def re5_stop_words(spark: SparkSession, d: str) -> DataFrame:
-    c = chunk_view(spark, d).select("id", F.col("section_title"), F.substring("text", 1, 60).alias("q"))
-    return c.select("id", tx.stop_word_free(F.col("q"), ["en"]).alias("cleaned"))
+    c = chunk_view(spark, d).select("id", "text")
+    return c.select("id", tx.stop_word_free(F.col("text"), ["en"]).alias("cleaned"))
 
 
 def re7_exact_phrase(spark: SparkSession, d: str) -> DataFrame:

@@ -81,10 +81,8 @@ def sc18_markdown(spark, d):
 
 
 def sc25_file(spark, d):
-    """Clippings drawn together into one file and read as records."""
-    h = load(spark, d, "documents").filter("doc_kind = 'clipping' and text is not null and doc_id % 10 < 5").select(F.regexp_replace("text", r"\r\n?", "\n").alias("t"), "doc_id")
-    one = h.groupBy((F.col("doc_id") % 7).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n==========\n").alias("text"))
-    return X.clippings(one)
+    """Every clipping document read as a file of records."""
+    return X.clippings(load(spark, d, "documents").filter("doc_kind = 'clipping' and text is not null"))
 
 
 def sc28_pdf_annotations(spark, d):
