@@ -31,3 +31,12 @@ def test_every_clipping_is_read(spark):
 def test_whole_texts_are_cleaned(spark):
     cleaned = Q["re5_stop_words"](spark, DATA).filter(F.length("cleaned") > 60).count()
     assert cleaned > 0.3 * chunk_view(spark, DATA).filter("length(text) > 120").count() > 0
+
+
+def test_every_description_is_extracted(spark):
+    texts = {r["source_id"]: r["comments_html"] for r in book_view(spark, DATA).filter("comments_html is not null").collect()}
+    html = {r["source_id"]: r["text"] for r in Q["sc16_html"](spark, DATA).collect()}
+    marked = {r["source_id"]: r["markdown"] for r in Q["sc18_markdown"](spark, DATA).collect()}
+    assert html.keys() == marked.keys() == texts.keys()
+    plain = {k for k, t in texts.items() if t.strip() and not set(t) & set("<&")}
+    assert plain and all(html[k].split() == marked[k].split() == texts[k].split() for k in plain)
