@@ -96,20 +96,28 @@ def _further(records: DataFrame) -> DataFrame:
 
 
 def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
-    """Every stretch of one language in the current chunks, with its confidence."""
+    """Every stretch of one language in the current chunks and in the cleaned
+    comments of the catalogue (places are those of the clean text), with its confidence."""
     table = _profiles(spark, d)
     c = load(spark, d, "chunks").filter("id is not null").select("id", instant(F.col("indexed_at")).alias("at"), "text")
     c = latest(c, ["id"], [F.col("at").desc_nulls_last(), F.xxhash64("text").desc()])
-    return languages.stretches(c.select("id", "text"), table, ["id"])
+    c = c.select(F.lit("chunk").alias("record_kind"), "id", "text")
+    b = markup.clean(_comments(spark, d)).select(F.lit("book").alias("record_kind"), F.col("source_id").alias("id"), F.col("clean").alias("text"))
+    return languages.stretches(c.unionByName(b), table, ["record_kind", "id"])
 
 
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    """The language of each chunk: that of most of its text, with the share it
-    has there times its confidence."""
+    """The language of each current chunk and catalogue row: that of most of its
+    text, with the share it has there times its confidence. A record in which no
+    sentence counts has no language and the confidence 0."""
     s = p6_stretches(spark, d).withColumn("n", F.col("stretch_end") - F.col("stretch_start"))
-    per = s.groupBy("id", "lang").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("c"))
-    all_ = per.groupBy("id").agg(F.sum("n").alias("total"), F.max(F.struct("n", "lang", "c")).alias("top"))
-    return all_.select("id", F.col("top.lang").alias("lang"), F.round(F.col("top.c") * F.col("top.n") / F.col("total"), 4).alias("confidence"))
+    per = s.groupBy("record_kind", "id", "lang").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("c"))
+    all_ = per.groupBy("record_kind", "id").agg(F.sum("n").alias("total"), F.max(F.struct("n", "lang", "c")).alias("top"))
+    found = all_.select("record_kind", "id", F.col("top.lang").alias("lang"), F.round(F.col("top.c") * F.col("top.n") / F.col("total"), 4).alias("confidence"))
+    c = load(spark, d, "chunks").select(F.lit("chunk").alias("record_kind"), "id")
+    b = load(spark, d, "catalogue").select(F.lit("book").alias("record_kind"), F.col("source_id").alias("id"))
+    records = c.unionByName(b).filter("id is not null").distinct()
+    return records.join(found, ["record_kind", "id"], "left").select("record_kind", "id", "lang", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
