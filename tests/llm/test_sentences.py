@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from lectern.llm import sentences as S
@@ -45,3 +48,72 @@ def test_rows(spark):
     assert S.split(df).count() == 5
     assert sorted(r["sentence"] for r in S.split(df, with_text=True).filter("doc_id = 1").collect()) == ["A b.", "A b.", "C d.", "C d."]
     assert S.split(df.limit(0)).count() == 0
+
+
+def _all_ways(lo, hi, places, events):
+    """The search without its bound: every start at every place."""
+    starts, ends, gain = [lo, *[p[1] for p in places]], [*[p[0] for p in places], hi], [*[p[2] for p in places], 0.0]
+    best, back = [0.0], []
+    for j, e in enumerate(ends):
+        top, frm = -1e18, 0
+        for i in range(j, -1, -1):
+            a, open_ = starts[i], 0.0
+            for at, opened, cost in events:
+                if a <= at < e:
+                    open_ += -cost if at != opened and opened >= a else cost
+            v = best[i] - S.span_cost(e - a, open_)
+            if v > top:
+                top, frm = v, i
+        best.append(top + gain[j])
+        back.append(frm)
+    spans, j = [], len(ends)
+    while j:
+        spans.append((starts[back[j - 1]], ends[j - 1]))
+        j = back[j - 1]
+    return spans[::-1]
+
+
+def test_the_bound_is_exact():
+    rng = random.Random(3)
+    for _ in range(300):
+        at, places = 0, []
+        for _ in range(rng.randint(1, 14)):
+            at += rng.choice((1, 2, 9, 80, 700))
+            places.append((at, at + 1, rng.choice((-12, -4.5, -2, -1, -0.5, 0, 0.5, 1, 2, 4, 7))))
+            at += 1
+        hi = at + rng.choice((1, 30))
+        events = []
+        for _ in range(rng.randint(0, 5)):
+            a, b = sorted(rng.sample(range(hi), 2))
+            cost = rng.choice((S.BRACKET_COST, S.QUOTE_COST))
+            events += [(a, a, cost), (b, a, cost)]
+        events.sort()
+        assert S.search(0, hi, places, events) == _all_ways(0, hi, places, events)
+
+
+def test_every_place_reaches_the_search(monkeypatch):
+    seen = []
+    whole = S.search
+    monkeypatch.setattr(S, "search", lambda lo, hi, places, events: seen.append(len(places)) or whole(lo, hi, places, events))
+    text = "Dr. Lee came at 3.14 p.m. (see p. 5). He left! “Who?” asked Mr. Fox. End."
+    S.units(text)
+    assert seen == [len([m for m in S.CANDIDATE.finditer(text) if m.end() < len(text)])]
+
+
+def test_parts_of_a_span_decide_jointly():
+    # the same mark between the same words: closed brackets let it end, open ones do not
+    places = [(10, 11, 3.0)]
+    assert S.search(0, 20, places, []) == [(0, 10), (11, 20)]
+    assert S.search(0, 20, places, [(5, 5, S.BRACKET_COST), (15, 5, S.BRACKET_COST)]) == [(0, 20)]
+    # a doubtful end counts in a span that is far too long, and not in a short one
+    assert S.search(0, 1200, [(600, 601, -0.3)], []) == [(0, 600), (601, 1200)]
+    assert S.search(0, 200, [(100, 101, -0.3)], []) == [(0, 200)]
+    # a unit of one character is dearer than a doubtful end is worth
+    assert S.search(0, 50, [(1, 2, 2.0)], []) == [(0, 50)]
+
+
+@pytest.mark.parametrize("text", ["a." * 60_000, "(" * 40_000 + ". A" + ")" * 40_000, "(]" * 40_000, "“A. " * 20_000, "x" * 100_000 + ". A" * 20_000, "1." * 50_000, "w.w/" * 30_000, "a@b." * 30_000, "Dr. Lee " * 20_000])
+def test_work_grows_with_the_text(text):
+    t = time.process_time()
+    S.units(text)
+    assert time.process_time() - t < 6
