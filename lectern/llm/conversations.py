@@ -1,10 +1,16 @@
 """Rebuilding conversations from message rows.
 
 Messages are sessionized by channel: a channel's messages are put in order by
-the platform's own ordering (a counter, parent links or the time), split at
-inactivity gaps where the channel is not already one conversation, given roles
+the platform's own ordering (a counter, parent links or the time), split into
+sessions at silences longer than a gap calibrated on all silences, given roles
 through an alias table, and sessions that are broken, empty or without replies
-are told apart.
+are dropped. An export names its conversations, so the sessions of one
+``conv_id`` are judged together: a reply after a long silence is a reply.
+
+No window runs over a conversation: rows are range partitioned by conversation
+and place, which cuts a hot conversation into several tasks, each task sums up
+its stretch of a conversation in one row, and these rows (one for each task that
+a conversation runs through) are put together.
 
 Defined results
 ---------------
@@ -17,23 +23,24 @@ empty table: empty results; extra columns: ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators.ordered import gap_sessions
-from lectern.session import cut
+from lectern.session import cut, shuffle_width
 
 #: White space of a blank content, the no-break spaces included.
 BLANK = r"^[\s   -     　\u0085\u001c-\u001f]*$"
 #: Conversations of up to so many messages are ordered within one array; longer
 #: ones by pointer doubling over all tasks. Both ways are exact.
 CHAIN_ARRAY = 20_000
-#: Positions of one window task; longer conversations are cut and joined again.
-SPAN = 50_000
-#: Stretch of a timed conversation, in microseconds.
-DAY = 86_400_000_000
 
 
 def bare_label(c: Column) -> Column:
@@ -122,72 +129,196 @@ def ordered(m: DataFrame) -> DataFrame:
     return rest.unionByName(tree)
 
 
-def verdicts(m: DataFrame) -> DataFrame:
-    """One row per conversation: ``broken``, ``empty``, ``lacks_reply``."""
+#: Numbers of the roles in a stretch; 0 is an unknown speaker.
+HUMAN, ASSISTANT, SYSTEM = 1, 2, 3
+_STRETCH = (
+    "conv_id bigint, part int, n bigint, sessions bigint, platform int, unknown boolean, unplaced boolean, human boolean, "
+    "repeats bigint, lo bigint, hi bigint, lo_at bigint, hi_at bigint, first int, last int, unanswered boolean"
+)
+_NEVER = -(1 << 62)
+
+
+def _in_order(df: DataFrame, *by: Column | str) -> DataFrame:
+    """Rows in order over all partitions, a hot key over several of them."""
+    return df.repartitionByRange(shuffle_width(df.sparkSession), *by).sortWithinPartitions(*by)
+
+
+def stretches(m: DataFrame, gap_seconds: float) -> DataFrame:
+    """A row for each conversation in each task it runs through: what the
+    stretch holds, its sessions, and what its two ends look like."""
     o = ordered(m)
-    human = (F.col("role") == "human") & F.col("has_content")
-    base = o.groupBy("conv_id").agg(
-        F.count("*").alias("n"),
-        F.max(F.col("role").isNull()).alias("unknown"),
-        F.max(F.col("pos").isNull()).alias("unplaced"),
-        F.max("platform").alias("platform"),
-        F.min("pos").alias("lo"),
-        F.max("pos").alias("hi"),
-        F.max(F.coalesce(human, F.lit(False))).alias("any_human"),
-    )
-    # A counter without repeats or gaps: as many places as messages between the ends.
-    repeats = o.filter("platform = 'lesechat'").groupBy("conv_id", "pos").count().filter("count > 1").select("conv_id").distinct().withColumn("repeated", F.lit(True))
-    counted = (F.col("platform") == "lesechat") & (F.coalesce("repeated", F.lit(False)) | ~F.coalesce(F.col("lo").isin(0, 1), F.lit(False)) | (F.col("hi") - F.col("lo") + 1 != F.col("n")))
-    base = base.join(repeats, "conv_id", "left").select("conv_id", "n", (F.col("unknown") | F.col("unplaced") | counted).alias("broken"), (~F.col("any_human")).alias("empty"))
-    # The next speaker with content, by stretches of bounded length and then from stretch to stretch.
-    s = o.filter(F.col("has_content") & F.col("role").isin("human", "assistant") & F.col("pos").isNotNull())
-    width = F.when(F.col("platform") == "pagechat", F.lit(DAY)).otherwise(F.lit(SPAN))
-    s = s.select("conv_id", "msg_id", "role", "pos", F.floor(F.col("pos") / width).alias("span"))
-    inner = Window.partitionBy("conv_id", "span").orderBy("pos", "msg_id")
-    s = s.withColumn("next", F.lead("role").over(inner))
-    t = s.groupBy("conv_id", "span").agg(F.max((F.col("role") == "human") & (F.coalesce("next", F.lit("")) == "human")).alias("bad"), F.min(F.struct("pos", "msg_id", "role")).alias("first"), F.max(F.struct("pos", "msg_id", "role")).alias("last"))
-    t = t.withColumn("next", F.lead("first.role").over(Window.partitionBy("conv_id").orderBy("span")))
-    t = t.groupBy("conv_id").agg(F.max(F.col("bad") | ((F.col("last.role") == "human") & (F.coalesce("next", F.lit("human")) == "human"))).alias("lacks_reply"))
-    return base.join(t, "conv_id", "left").withColumn("lacks_reply", F.coalesce("lacks_reply", F.lit(False)))
+    code = F.create_map(*[F.lit(x) for p in (("lesechat", 1), ("treetalk", 2), ("pagechat", 3)) for x in p])
+    role = F.create_map(*[F.lit(x) for p in (("human", HUMAN), ("assistant", ASSISTANT), ("system", SYSTEM)) for x in p])
+    o = o.select(
+        "conv_id", F.coalesce("pos", F.lit(_NEVER)).alias("pos"), F.coalesce("msg_id", F.lit(_NEVER)).alias("msg_id"),
+        F.coalesce(F.try_element_at(role, "role"), F.when(F.col("role").isNotNull(), SYSTEM), F.lit(0)).alias("role"), "has_content",
+        F.coalesce(F.try_element_at(code, "platform"), F.lit(0)).alias("platform"),
+        F.coalesce(F.unix_micros(F.col("sent_at").cast("timestamp")), F.lit(_NEVER)).alias("at"),
+    )
+    gap = gap_seconds * 1e6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = _sum_up([c.to_numpy(zero_copy_only=False) for c in b.columns], gap)
+            if held is not None and held[0] == rows[0][0]:
+                rows[0] = _join(held, rows[0], gap)
+            elif held is not None:
+                rows.insert(0, held)
+            held = rows.pop()
+            if rows:
+                yield _batch(rows, part)
+        if held is not None:
+            yield _batch([held], part)
+
+    return _in_order(o, "conv_id", "pos", "msg_id", "role").mapInArrow(run, _STRETCH)
+
+
+def _batch(rows: list[tuple], part: int) -> pa.RecordBatch:
+    cols = list(zip(*[(r[0], part, *r[1:]) for r in rows]))
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [f.split() for f in _STRETCH.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[f for f, _ in fields])
+
+
+def _sum_up(cols: list[np.ndarray], gap: float) -> list[tuple]:
+    """The stretches of a run of ordered rows, as tuples of ``_STRETCH`` without the part."""
+    conv, pos, _, role, has, platform, at = cols
+    edge = np.flatnonzero(np.concatenate([[True], conv[1:] != conv[:-1]]))
+    n = np.diff(np.append(edge, len(conv)))
+    same = np.concatenate([[False], conv[1:] == conv[:-1]])
+    known = at > _NEVER
+    with np.errstate(over="ignore"):
+        silent = same & known & np.roll(known, 1) & (at - np.roll(at, 1) > gap)
+    repeats = same & (pos == np.roll(pos, 1)) & (pos > _NEVER)
+    total = lambda x: np.add.reduceat(x.astype(np.int64), edge)
+    human = (role == HUMAN) & has
+    speaks = np.flatnonzero((human | ((role == ASSISTANT) & has)) & (pos > _NEVER))
+    first, last, bad = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64), np.zeros(len(edge), bool)
+    if len(speaks):
+        own = np.searchsorted(edge, speaks, side="right") - 1
+        r = role[speaks]
+        twice = (own[1:] == own[:-1]) & (r[1:] == HUMAN) & (r[:-1] == HUMAN)
+        bad[own[:-1][twice]] = True
+        last[own] = r
+        first[own[::-1]] = r[::-1]
+    ends = edge + n - 1
+    out = (conv[edge], n, 1 + total(silent), np.maximum.reduceat(platform, edge), total(role == 0) > 0, total(pos == _NEVER) > 0, total(human) > 0, total(repeats), pos[edge], pos[ends], at[edge], at[ends], first, last, bad)
+    return list(zip(*[x.tolist() for x in out]))
+
+
+def _join(a: tuple, b: tuple, gap: float) -> tuple:
+    """Two stretches of one conversation, one after the other."""
+    near = not (a[11] > _NEVER and b[10] > _NEVER and b[10] - a[11] > gap)
+    return (
+        a[0], a[1] + b[1], a[2] + b[2] - near, max(a[3], b[3]), a[4] or b[4], a[5] or b[5], a[6] or b[6], a[7] + b[7] + (a[9] == b[8] > _NEVER), a[8], b[9], a[10], b[11],
+        a[12] or b[12], b[13] or a[13], a[14] or b[14] or (a[13] == HUMAN and b[12] == HUMAN),
+    )
+
+
+def verdicts(m: DataFrame, gap_seconds: float = float("inf")) -> DataFrame:
+    """One row per conversation: its ``sessions``, ``broken``, ``empty``,
+    ``lacks_reply``. The stretches of a conversation are as many as the tasks it
+    runs through."""
+    s = stretches(m, gap_seconds)
+    c = s.groupBy("conv_id").agg(
+        F.sum("n").alias("n"), F.max("platform").alias("platform"), F.max("unknown").alias("unknown"), F.max("unplaced").alias("unplaced"), F.max("human").alias("human"), F.sum("repeats").alias("repeats"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("sessions").alias("parts"), F.max("unanswered").alias("unanswered"), F.sort_array(F.collect_list(F.struct("part", "lo", "hi", "lo_at", "hi_at", "first", "last"))).alias("s"),
+    )
+    # from stretch to stretch: the last speaker, and what the seams show
+    start = F.struct(F.lit(0).alias("last"), F.lit(False).alias("bad"), F.lit(0).alias("joined"), F.lit(_NEVER).alias("hi"), F.lit(_NEVER).alias("at"), F.lit(0).alias("again"))
+    silence = gap_seconds * 1e6 if gap_seconds != float("inf") else float(1 << 62)
+
+    def step(a: Column, x: Column) -> Column:
+        silent = (a["at"] > _NEVER) & (x["lo_at"] > _NEVER) & ((x["lo_at"] - a["at"]).cast("double") > silence)
+        seam = a["hi"] > _NEVER
+        return F.struct(
+            F.when(x["last"] > 0, x["last"]).otherwise(a["last"]).alias("last"), (a["bad"] | ((a["last"] == HUMAN) & (x["first"] == HUMAN))).alias("bad"),
+            (a["joined"] + F.when(seam & ~silent, 1).otherwise(0)).alias("joined"), x["hi"].alias("hi"), x["hi_at"].alias("at"), (a["again"] + F.when(seam & (a["hi"] == x["lo"]), 1).otherwise(0)).alias("again"),
+        )
+
+    c = c.withColumn("end", F.aggregate("s", start, step))
+    counted = (F.col("platform") == 1) & ((F.col("repeats") + F.col("end.again") > 0) | ~F.col("lo").isin(0, 1) | (F.col("hi") - F.col("lo") + 1 != F.col("n")))
+    lacks = F.col("unanswered") | F.col("end.bad") | (F.col("end.last") == HUMAN)
+    return c.select("conv_id", "n", (F.col("parts") - F.col("end.joined")).alias("sessions"), (F.col("unknown") | F.col("unplaced") | counted).alias("broken"), (~F.col("human")).alias("empty"), lacks.alias("lacks_reply"))
 
 
 def left_out(m: DataFrame) -> DataFrame:
-    return verdicts(m).filter("broken or empty or lacks_reply").select("conv_id")
+    """Conversations to be left out: the channel's messages are stored once,
+    the gap is calibrated on their silences, and the sessions are judged."""
+    slim = cut(m.drop("content", "speaker"))
+    return verdicts(slim, calibrated_gap(slim, ["conv_id"])).filter("broken or empty or lacks_reply").select("conv_id")
 
 
 def rebuild(m: DataFrame) -> DataFrame:
     """The turns of the conversations that are kept, once each and in order."""
-    o = ordered(m).join(verdicts(m).filter("not (broken or empty or lacks_reply)").select("conv_id"), "conv_id", "left_semi")
-    # counters and chains are dense; times are counted day by day and carried on
-    first = o.groupBy("conv_id").agg(F.min("pos").alias("_lo"))
-    dense = o.filter("platform <> 'pagechat'").join(first, "conv_id").withColumn("turn", F.col("pos") - F.col("_lo") + 1)
-    timed = o.filter("platform = 'pagechat'").withColumn("_s", F.floor(F.col("pos") / DAY))
-    n = timed.groupBy("conv_id", "_s").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    n = n.select("conv_id", "_s", F.coalesce(before, F.lit(0)).alias("_b"))
-    timed = timed.withColumn("_i", F.row_number().over(Window.partitionBy("conv_id", "_s").orderBy("pos", "msg_id"))).join(n, ["conv_id", "_s"]).withColumn("turn", F.col("_b") + F.col("_i"))
-    cols = ["conv_id", F.col("turn").cast("bigint").alias("turn"), "msg_id", F.col("role").alias("speaker"), "content"]
-    return dense.select(*cols).unionByName(timed.select(*cols))
+    m = cut(m)
+    kept = verdicts(m, calibrated_gap(m, ["conv_id"])).filter("not (broken or empty or lacks_reply)").select("conv_id")
+    o = ordered(m).join(kept, "conv_id", "left_semi")
+    cols = ["conv_id", "msg_id", F.col("role").alias("speaker"), "content", "pos"]
+    return numbered(o.select(*cols), "conv_id", ["pos", "msg_id"], "turn").select("conv_id", "turn", "msg_id", "speaker", "content")
+
+
+def numbered(df: DataFrame, key: str, by: list[str], name: str) -> DataFrame:
+    """Each row's number within its key, in order. A key that runs through
+    several tasks is counted task by task; only such keys are joined (at most
+    two for each task, which bounds what is broadcast)."""
+    fields = df.schema.fields
+    at, names = df.columns.index(key), [*df.columns, name, "_part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(at).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(edge, len(k)))
+            i = np.arange(len(k)) - np.repeat(edge, size) + 1
+            if last is not None and last == k[0]:
+                i[: size[0]] += seen
+            last, seen = k[-1], int(i[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(i), pa.array(np.full(len(k), part, np.int32))], names=names)
+
+    out = T.StructType([*fields, T.StructField(name, T.LongType()), T.StructField("_part", T.IntegerType())])
+    n = cut(_in_order(df, key, *by).mapInArrow(run, out))
+    per = n.groupBy(key, "_part").agg(F.max(name).alias("n"))
+    many = per.groupBy(key).agg(F.count("*").alias("c"), F.sort_array(F.collect_list(F.struct("_part", "n"))).alias("s")).filter("c > 1")
+    w = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = many.select(key, F.explode("s").alias("x")).select(key, "x._part", "x.n").withColumn("_before", F.sum("n").over(w)).select(key, "_part", "_before")
+    return n.join(F.broadcast(before), [key, "_part"], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
 
 
 def calibrated_gap(df: DataFrame, channel: list[str], at: str = "sent_at", least: float = 60.0) -> float:
     """Seconds of silence that part sessions: the emptiest place between the
-    two heaps of the gaps' logarithms. Gaps are counted in 64 steps over all
-    rows, so what reaches the driver is 64 numbers; without a valley between
-    two heaps it is the longest gap, that is nothing is split."""
-    t = df.filter(F.col(at).isNotNull()).select(*channel, F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
-    t = t.withColumn("s", F.floor(F.col("t") / DAY))
-    w = Window.partitionBy(*channel, "s").orderBy("t")
-    inside = t.select((F.col("t") - F.lag("t").over(w)).alias("g"))
-    days = t.groupBy(*channel, "s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    across = days.select((F.col("lo") - F.lag("hi").over(Window.partitionBy(*channel).orderBy("s"))).alias("g"))
-    g = inside.unionByName(across).select((F.col("g") / 1e6).alias("g")).filter(F.col("g") > 0)
-    rows = g.select(F.least(F.floor(F.log2("g") * 2), F.lit(63)).alias("b")).filter("b >= 0").groupBy("b").count().collect()
-    if not rows:
-        return float("inf")
-    h = np.zeros(64)
-    for r in rows:
-        h[r["b"]] = r["count"]
+    two heaps of the silences' logarithms. Silences are counted in 64 steps over
+    all rows in the tasks, so what reaches the driver is 65 rows a task; without
+    a valley between two heaps it is the longest gap, that is nothing is split."""
+    whole = len(channel) == 1 and df.schema[channel[0]].dataType == T.LongType()
+    key = F.col(channel[0]) if whole else F.xxhash64(*channel)
+    t = df.filter(F.col(at).isNotNull()).select(F.coalesce(key, F.lit(_NEVER)).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, h, ends = TaskContext.get().partitionId(), np.zeros(64, np.int64), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, x = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            first = (int(k[0]), int(x[0])) if ends is None else ends[0]
+            if ends is not None:
+                k, x = np.concatenate([[ends[1][0]], k]), np.concatenate([[ends[1][1]], x])
+            h += _steps(np.diff(x)[k[1:] == k[:-1]])
+            ends = (first, (int(k[-1]), int(x[-1])))
+        if ends is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "h": pa.array([h.tolist()], pa.list_(pa.int64())), "ends": pa.array([[*ends[0], *ends[1]]], pa.list_(pa.int64()))})
+
+    rows = sorted(_in_order(t, "k", "t").mapInArrow(run, "part int, h array<bigint>, ends array<bigint>").collect())
+    h = sum((np.array(r["h"]) for r in rows), np.zeros(64, np.int64))
+    for a, b in zip(rows, rows[1:]):
+        if a["ends"][2] == b["ends"][0]:
+            h = h + _steps(np.array([b["ends"][1] - a["ends"][3]]))
     smooth = np.convolve(h, [0.25, 0.5, 0.25], "same")
     best, score = None, 0.0
     for b in range(int(2 * np.log2(least)), 63):
@@ -198,6 +329,12 @@ def calibrated_gap(df: DataFrame, channel: list[str], at: str = "sent_at", least
     return float(2 ** ((best + 0.5) / 2)) if best is not None else float("inf")
 
 
+def _steps(micros: np.ndarray) -> np.ndarray:
+    """Counts of silences of a second and more by the half powers of two of their seconds."""
+    g = micros[micros >= 1_000_000] / 1e6
+    return np.bincount(np.minimum(np.floor(np.log2(g) * 2), 63).astype(np.int64), minlength=64)
+
+
 def sessionize(df: DataFrame, channel: list[str], gap_seconds: float, at: str = "sent_at", tie: str = "msg_id") -> DataFrame:
     """Sessions of a channel: a silence longer than the gap starts a new one."""
     if gap_seconds == float("inf"):

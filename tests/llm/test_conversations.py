@@ -88,3 +88,38 @@ def test_gap_between_two_heaps(spark):
     gap = C.calibrated_gap(d, ["conv_id"])
     assert 60 < gap < 5 * 3600
     assert C.sessionize(d, ["conv_id"], gap).agg(F.max("session")).first()[0] == 39
+
+
+def test_a_hot_conversation_runs_through_many_tasks(spark, alias):
+    """Stretches of one conversation in several tasks give the same verdict,
+    sessions and turns as the conversation in one."""
+    def rows(c, p, roles, repeat=None, hole=None, every=1):
+        at, out = 0, []
+        for i, r in enumerate(roles):
+            at += every if i % 100 else 6000
+            k = i if hole is None or i < hole else i + 1
+            k = k - 1 if repeat is not None and i == repeat else k
+            out.append(row(c * 10**6 + i, c, p, r, "x", k if p == "lesechat" else None, None, at))
+        return out
+
+    turns = ["user", "ai"] * 1500
+    data = rows(1, "lesechat", turns) + rows(2, "pagechat", turns) + rows(3, "lesechat", turns, repeat=1501) + rows(4, "lesechat", turns, hole=1700) + rows(5, "pagechat", turns[:1999] + ["user"] + turns[2000:]) + rows(6, "pagechat", [*turns, "user"])
+    df = spark.createDataFrame(data, SCHEMA)
+    m = C.messages(df, alias)
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {}
+    for n in ("1", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            v = {r["conv_id"]: (r["n"], r["sessions"], r["broken"], r["empty"], r["lacks_reply"]) for r in C.verdicts(m, 3600.0).collect()}
+            t = [(r["conv_id"], r["turn"], r["msg_id"]) for r in C.rebuild(m).orderBy("conv_id", "turn").collect()]
+            parts = C.stretches(m, 3600.0).groupBy("conv_id").count().agg(F.max("count")).first()[0]
+            got[n] = (v, t, C.calibrated_gap(m, ["conv_id"]))
+            assert (parts > 1) == (n == "40")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert got["1"] == got["40"]
+    v, t, _ = got["1"]
+    assert v[1] == (3000, 30, False, False, False) and {c for c, x in v.items() if not any(x[2:])} == {1, 2}
+    assert [x[1] for x in t if x[0] == 2] == list(range(1, 3001))
+    assert [x[2] for x in t if x[0] == 1] == [10**6 + i for i in range(3000)]
