@@ -67,8 +67,10 @@ def fuse(df: DataFrame, group: str, item: str, scores: dict[str, bool], k: int =
     (null where it has none)."""
     items = best_scores(df, group, item, scores)
     r = ranks(items, group, item, scores)
-    per = r.groupBy(group, item).agg(F.sum(1 / (k + F.col("rank"))).alias("total"), *[F.max(F.when(F.col("score") == s, F.col("rank"))).alias(f"rank_{s.strip('_')}") for s in scores])
-    return items.select(group, item).join(per, [group, item], "left").withColumn("total", F.round(F.coalesce("total", F.lit(0.0)), 12))
+    named = {x: f"rank_{x.strip('_')}" for x in scores}
+    per = r.groupBy(group, item).agg(F.sum(1 / (k + F.col("rank"))).alias("total"), *[F.max(F.when(F.col("score") == x, F.col("rank"))).alias(n) for x, n in named.items()])
+    none = items.filter(F.coalesce(*scores).isNull()).select(group, item, F.lit(0.0).alias("total"), *[F.lit(None).cast("bigint").alias(n) for n in named.values()])
+    return per.unionByName(none).withColumn("total", F.round("total", 12))
 
 
 def ranking(fused: DataFrame, group: str, item: str) -> DataFrame:
@@ -82,7 +84,9 @@ def ranking(fused: DataFrame, group: str, item: str) -> DataFrame:
     return d.withColumn("place", (F.col("before") + F.col("_in")).cast("bigint")).drop("bucket", "before", "_in")
 
 
-def in_every_top(df: DataFrame, group: str, item: str, scores: dict[str, bool], top: int = 10) -> DataFrame:
-    """Items among the best ``top`` of their group under every score."""
-    r = ranks(best_scores(df, group, item, scores), group, item, scores).filter(F.col("rank") <= top)
-    return r.groupBy(group, item).agg(F.count("*").alias("n")).filter(F.col("n") == len(scores)).select(group, item)
+def in_every_top(fused: DataFrame, scores: dict[str, bool], top: int = 10) -> DataFrame:
+    """Items of a fusion whose rank is among the best ``top`` under every score."""
+    keep = F.lit(True)
+    for x in scores:
+        keep = keep & (F.col(f"rank_{x.strip('_')}") <= top)
+    return fused.filter(keep)

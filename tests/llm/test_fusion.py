@@ -52,5 +52,5 @@ def test_places_and_tops(spark):
     assert [r["place"] for r in placed] == list(range(1, len(placed) + 1))
     assert placed == sorted(placed, key=lambda r: (-r["total"], r["id"]))
     want = {k for k, (_, r) in brute(rows()).items() if len(r) == 2 and max(r.values()) <= 10}
-    assert {(r["q"], r["id"]) for r in U.in_every_top(df, "q", "id", SCORES).collect()} == want
+    assert {(r["q"], r["id"]) for r in U.in_every_top(U.fuse(df, "q", "id", SCORES), SCORES).collect()} == want
     assert U.fuse(df.limit(0), "q", "id", SCORES).count() == 0
