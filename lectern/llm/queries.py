@@ -143,8 +143,8 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    totals = mixing.source_totals(_sized(spark, d), load(spark, d, "mix_targets"))
-    return totals.filter("target_share > 0 and not reachable").select("source")
+    """Read off the report of the mixture."""
+    return p9_shares(spark, d).filter("target_share > 0 and not reachable").select("source")
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
