@@ -25,3 +25,13 @@ def test_core_does_not_import_the_subpackage():
 def test_smoke(spark):
     if Path(entry.SMOKE).exists():
         assert entry.entry(spark).count() > 0
+
+
+def test_a_missing_dependency_costs_only_the_subpackage():
+    """Without a module that only the training-data operators need, the core's
+    queries are still there."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e\nq, o = e.queries(), e.oracle_sql()\nassert len(q) > 200 and 'p8_ids' not in q and 'p5_found' in q and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
