@@ -86,3 +86,93 @@ def test_from_log(spark):
     empty = L.due_documents(cat.limit(0), log, runs)
     assert empty.count() == 0
     assert L.due_documents(cat, log.limit(0), runs.limit(0)).count() == 8
+
+
+def _write(led, got, token, word):
+    got.select("item", F.lit(word).alias("text")).write.mode("overwrite").parquet(led.result_path(token))
+
+
+def _results(led):
+    return sorted((r["item"], r["token"], r["text"]) for r in led.results().select("item", "token", "text").collect())
+
+
+def test_the_stale_writers_row_is_not_a_result(spark, tmp_path):
+    led = L.Ledger(spark, str(tmp_path / "led"), lease_seconds=60)
+    snap = spark.createDataFrame([("a", "1", T0)], SNAP)
+    first, t1 = led.claim(snap, now(0))
+    _write(led, first, t1, "stale")
+    second, t2 = led.claim(snap, now(5))
+    _write(led, second, t2, "good")
+    led.complete(second, now(6))
+    led.complete(first, now(7))
+    assert _results(led) == [("a", t2, "good")]
+
+
+def test_a_slow_clock_does_not_undo_the_fence(spark, tmp_path):
+    led = L.Ledger(spark, str(tmp_path / "led"), lease_seconds=60)
+    snap = spark.createDataFrame([("a", "1", T0)], SNAP)
+    first, t1 = led.claim(snap, now(0))
+    _write(led, first, t1, "stale")
+    led.claim(snap, now(5))
+    led.complete(first, now(1))  # its clock says that it came before the second claim
+    state = L.fold(led.events(), now(5)).first()
+    assert state["state"] == "leased" and state["done_token"] is None and state["fenced"] == 1
+    assert _results(led) == []
+    # a fast clock does no harm either: nobody claimed again
+    other = L.Ledger(spark, str(tmp_path / "other"), lease_seconds=60)
+    got, t = other.claim(snap, now(0))
+    _write(other, got, t, "late")
+    other.complete(got, now(999))
+    assert _results(other) == [("a", t, "late")]
+
+
+def test_two_claimers_get_different_tokens_and_items_once(spark, tmp_path, monkeypatch):
+    one, two = (L.Ledger(spark, str(tmp_path / "led"), lease_seconds=600) for _ in range(2))
+    snap = spark.createDataFrame([("a", "1", T0), ("b", "1", T0)], SNAP)
+    put, met = one._put, []
+
+    def late(number, entry):
+        if not met:  # the other one comes in between reading and writing
+            met.append(two.claim(snap, now(0)))
+        return put(number, entry)
+
+    monkeypatch.setattr(one, "_put", late)
+    mine, t1 = one.claim(snap, now(0))
+    theirs, t2 = met[0]
+    assert t1 != t2 and items(mine) == [] and items(theirs) == ["a", "b"]
+    assert not one._put(t1, {"kind": "claim", "set": "x"})  # the number is taken
+
+
+def test_a_crash_between_writing_and_recording(spark, tmp_path):
+    led = L.Ledger(spark, str(tmp_path / "led"), lease_seconds=60)
+    snap = spark.createDataFrame([("a", "1", T0)], SNAP)
+    first, t1 = led.claim(snap, now(0))
+    _write(led, first, t1, "lost")  # written, never recorded
+    assert _results(led) == []
+    again, t2 = led.claim(snap, now(5))
+    assert items(again) == ["a"]
+    _write(led, again, t2, "kept")
+    led.complete(again, now(6))
+    led.complete(again, now(6))  # recorded twice
+    assert _results(led) == [("a", t2, "kept")] and items(led.pending(snap, now(7))) == []
+
+
+def test_compaction_and_void(spark, tmp_path):
+    led = L.Ledger(spark, str(tmp_path / "led"), lease_seconds=60)
+    snap = spark.createDataFrame([("a", "1", T0), ("b", "1", T0), (None, "1", T0)], SNAP)
+    first, t1 = led.claim(snap, now(0))
+    led.complete(first, now(0))
+    newer = spark.createDataFrame([("a", "2", T0), ("b", "1", T0)], SNAP)
+    second, t2 = led.claim(newer, now(1))
+    third, t3 = led.claim(newer, now(9))
+    key = lambda: sorted(tuple(r) for r in L.fold(led.events(), now(9)).select("item", "token", "state", "done_token", "done_hash").collect())
+    before = key()
+    led.compact()
+    assert key() == before == [("a", t3, "leased", t1, "1"), ("b", t1, "done", t1, "1")]
+    assert len(led._entries(led.top())) == 1
+    led.complete(second, now(9))  # fenced, also across the compaction
+    assert key() == before
+    led.complete(third, now(9))
+    assert items(led.pending(newer, now(9))) == []
+    led.void(t3)
+    assert items(led.pending(newer, now(99))) == ["a"]
