@@ -3,9 +3,13 @@
 A text is flattened into blocks: lines, cells, list items, code, formulas. Each
 block has features of its own (word count, link density, the signs at its edges,
 the element it stands in) and of its neighbours, and a decision tree trained on
-a small labelled table says what it is: prose, heading, list, code or formula.
-Signs that stay within a block's text (emphasis, links, notes, entities) are
-taken off after that and count as ``other`` markup.
+a small labelled table says what it is: prose, heading, list, code, formula or
+menu. Signs are read with the word counts and link densities around them: a line
+after a dash is an item among items or after a short lead, and prose in the
+midst of a long paragraph; a row of short link lines is a menu, a long linked
+sentence is prose; a rule under a long line is no heading. Signs that stay
+within a block's text (emphasis, links, notes, entities) are taken off after
+that and count as ``other`` markup; a menu does so whole.
 
 Defined results
 ---------------
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from lectern.llm.tokens import _spread
 
-KINDS = ("prose", "heading", "list", "code", "formula")
+KINDS = ("prose", "heading", "list", "code", "formula", "menu")
 
 #: The elements that are known as tags; anything else in angle brackets is prose.
 TAGS = "a abbr address article aside b big blockquote body br caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i img ins kbd li link main mark math meta mi mn mo mrow msup msub mfrac nav nowiki ol p pre q ref references s script section small source span strike strong style sub sup syntaxhighlight table tbody td tfoot th thead title tr tt u ul var".split()
@@ -64,14 +68,11 @@ INLINE = regex.compile(
     |(?P<link>\[(?P<link_in>[^\[\]\n]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s"[^"]*")?\))
     |(?P<wiki>\[\[(?:[^\[\]|\n]*\|)?(?P<wiki_in>[^\[\]|\n]*)\]\])
     |(?P<ext>\[https?://\S+\s(?P<ext_in>[^\]\n]*)\])
-    |(?P<template>\{{\{{[^{{}}]*\}}\}})
     |(?P<strong>\*\*(?=\S)(?P<strong_in>[^*\n]+?)(?<=\S)\*\*|(?<!\w)__(?=\S)(?P<strong2_in>[^\n]+?)(?<=\S)__(?!\w))
     |(?P<em>(?<![*\\])\*(?=[^\s*])(?P<em_in>[^*\n]*?)(?<=[^\s*])\*(?!\*)|(?<![\w_])_(?=[^\s_])(?P<em2_in>[^_\n]*?)(?<=[^\s_])_(?![\w_]))
     |(?P<strike>~~(?=\S)(?P<strike_in>[^~\n]+?)(?<=\S)~~)
     |(?P<wikiem>'{{2,5}}(?=[^'\s])(?P<wikiem_in>[^\n]+?)(?<=\S)'{{2,5}}(?!'))
     |(?P<texquote>``(?P<texquote_in>[^\n`]+?)'')
-    |(?P<note>~?\\(?:footnote|cite[a-z]*|ref|label|index|pageref|marginpar)\*?(?:\[[^\]]*\])*\{{[^{{}}]*\}})
-    |(?P<cmd>\\(?:[a-zA-Z]+)\*?\{{(?P<cmd_in>[^{{}}]*)\}})
     |(?P<esc>\\[*_#\[\]`~$%&{{}}\\-])
     |(?P<tick>(?<!`)`(?P<tick_in>[^`\n]+)`(?!`))
     |(?P<tilde>(?<=\w)~(?=\w|\\))
@@ -87,7 +88,12 @@ STARS = regex.compile(r"([*#:;]{1,4})[ \t]*(?=[^\s*#:;])")
 FRAME = regex.compile(r"(={1,6})[ \t]*([^=\s].*?)[ \t]*\1[ \t]*$")
 UNDER = regex.compile(r"[ ]{0,3}(?:=+|-{2,})[ \t]*$")
 QUOTE = regex.compile(r"[ ]{0,3}>[ ]?")
-WORDS = regex.compile(r"[\p{L}\p{N}]+")
+#: Words; where they are not set apart, two ideographs or four Thai letters count for one.
+WORDS = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]{1,2}|\p{Thai}{1,4}|[[\p{L}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+")
+#: Braces and what opens them, for one pass with a stack.
+BRACES = regex.compile(r"(?P<cmd>~?\\(?P<name>[a-zA-Z]+)\*?(?:\[[^\[\]]*\])*\{)|(?P<template>\{\{)|(?P<both>\}\})|(?P<open>\{)|(?P<shut>\})")
+#: Commands whose content is a note or a reference and not text.
+NOTES = regex.compile(r"(?:footnote|cite[a-z]*|ref|label|index|pageref|marginpar)$")
 MATHY = regex.compile(r"[\\^_={}<>+|]|\\[a-z]+")
 
 
@@ -151,7 +157,7 @@ def flatten(text: str) -> tuple[list[Block], bool]:
             flush()
             body = m[f"{kind}_in"] or ""
             if kind == "pre" or ESCAPED.search(body):
-                body = regex.sub(r"</?code\b[^>]*>", "", body, flags=regex.I)
+                body = _CODE_TAG.sub("", body)
                 body = html.unescape(body)
             state["gap"] = 2
             add(body.strip("\n"), "pre", True)
@@ -197,6 +203,11 @@ def flatten(text: str) -> tuple[list[Block], bool]:
 
 _PLAIN = {"comment", "nl", "liend", "li", "item", "blocktag", "htmllist", "texlist", "texenv"}
 _GROUPS = set(SCAN.groupindex)
+_CODE_TAG = regex.compile(r"</?code\b[^>]*>", regex.I)
+_HASH_END = regex.compile(r"\s+#+\s*$")
+_ITEM_SIGN = regex.compile(r"^[ \t]*(?:[-+*•#:;]+|\d{1,3}[.)])[ \t]*")
+_ROW = regex.compile(r"\s*(?:\{\||\|)")
+_ROW_SIGN = regex.compile(r"^\s*(?:\{\|[^\n]*|\|\}|\|-+|\|)|\|\s*$|(?<=\s)\|(?=\s)")
 _BARE_SPAN = regex.compile(r"<span>(.*?)</span>", regex.I | regex.S)
 
 
@@ -221,6 +232,21 @@ FEATURES = (
 )
 
 
+LINK = regex.compile(r"\[(?P<md>[^\[\]\n]*)\]\([^()\s]*\)|\[\[(?:[^\[\]|\n]*\|)?(?P<wiki>[^\[\]|\n]*)\]\]|\[https?://\S+\s(?P<ext>[^\]\n]*)\]|<a\b[^>]*>(?P<html>.*?)</a>", regex.I | regex.S)
+
+
+def link_density(t: str) -> float:
+    """Characters of a block's text that stand within links, of all that are seen."""
+    if "[" not in t and "<a" not in t and "<A" not in t:
+        return 0.0
+    inner = signs = 0
+    for m in LINK.finditer(t):
+        n = len(m["md"] or m["wiki"] or m["ext"] or m["html"] or "")
+        inner += n
+        signs += m.end() - m.start() - n
+    return inner / max(1, len(t.strip()) - signs)
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     x = np.zeros((n, len(FEATURES)), dtype=np.float32)
@@ -228,10 +254,8 @@ def features(blocks: list[Block]) -> np.ndarray:
     near = [b.blank for b in blocks] + [True]
     for i, b in enumerate(blocks, 1):
         t = b.text
-        words[i] = len(WORDS.findall(t[:2000])) if b.form != "pre" else len(t) / 6
-        inner = sum(len(m["link_in"] or m["wiki_in"] or m["ext_in"] or "") for m in INLINE.finditer(t) if m["link"] or m["wiki"] or m["ext"]) if "[" in t else 0
-        inner += sum(len(a) for a in regex.findall(r"<a\b[^>]*>(.*?)</a>", t, flags=regex.I | regex.S)) if "<a" in t or "<A" in t else 0
-        links[i] = inner / max(1, len(t))
+        words[i] = len(WORDS.findall(t)) if b.form != "pre" else len(t) / 6
+        links[i] = link_density(t)
         line = b.form == "line"
         bullet[i] = line and bool(BULLET.match(t))
         number[i] = line and bool(NUMBER.match(t))
@@ -273,15 +297,20 @@ LABELLED = (
     ("1999. was a year of rain, they say.\n\n~~~sql\nselect 1\n~~~\n\n<ol><li>a<li>b</ol>\n<span class=\"math\">x</span>", "pcllf"),
     ("“It is lost!” cried the clerk.\n\n–\n\nNo. 5\n\n(A note stands here.)", "pppp"),
 )
-_LETTER = {"p": 0, "h": 1, "l": 2, "c": 3, "f": 4, "s": 0}
+_LETTER = {"p": 0, "h": 1, "l": 2, "c": 3, "f": 4, "m": 5, "s": 0}
+#: Longer lines, leads to a list, names of a menu, and lines that begin with a sign in the midst of a paragraph.
+LONG = "The long account of the winter in which the river froze twice was read aloud|nobody in the town could say who had first brought the seal to the archive that|Der Turm am See ist alt und niemand weiß mehr wer ihn vor der Flut gebaut hat|Le vieux pont que personne ne traversait plus depuis la crue du printemps dernier menait|El puente antiguo que nadie cruzaba desde la última riada del invierno llevaba hasta|Старый мост по которому никто не ходил со времени последнего паводка вел к башне и|古い橋は洪水の後に誰も渡らなくなり、町の人々はその名前さえ忘れてしまったと言われている|旧城门在洪水之后无人通过，镇上的人连它的名字都忘记了，只有守门人还记得那把钥匙".split("|")
+LEADS = "Contents:|Inhalt:|Voir aussi :|Nota:|Also there:|目次：|См. также:".split("|")
+MENU = "Home|Index|About us|Über uns|Suche|Accueil|Contacto|Indice|Главная|Αρχική|首页|目次|الرئيسية|मुख पृष्ठ|หน้าแรก|Back to top".split("|")
+INNER = ("- as they say - until the evening came", "- 5 degrees in the night, so that it froze", "12. of March in that year, when it fell", "1999. It was built again soon after", "* which stood for a star in the margin")
 #: Words of the composed part of the table: phrases, sentences, code, formulas.
 PHRASES = "On the tides|the old bridge|Der Turm am See|zwei Boote|La porte du nord|le four à pain|El puente|La torre antica|vino nuovo|Старый мост|новая лодка|Ο πύργος|月の光|旧城门|नया पुल|สะพานเก่า|الجسر القديم|Was there a bridge?|bread, salt and wine from the hills beyond the town|The long account of the winter in which the river froze twice".split("|")
 SENTENCES = "The bridge fell.|Bees fly far and come home late, as the keeper knows.|Der Turm steht am See. Er ist alt.|Le four est froid.|旧城门已经关闭。|Старый мост упал.|सेतु पुराना है।|the keeper said so|“It fell!” cried the boy.|Lot #7 & lot #8 cost $9 to $11 each.|A ratio of 3/4 = fair.|For p < q and r > s this holds.|R&D - so they say - is dear.|See note ** above.|It took 6 * 7 days.|He left [sic] at 5.|(A note stands here.)|No. 5|สะพานเก่าปิดแล้ว|A [whole line](b.md)".split("|")
 CODES = ("x = 1\ny = 2", "for t in day:\n    print(t)", '{\n  "a": 1\n}', "ls -l | wc", "select a\nfrom b\nwhere c < 3;")
-FORMULAS = ("a+b", "x^2 = y", "\\frac{1}{2}", "E = m c^2", "n \\geq 1", "f(x)")
+FORMULAS = ("a+b", "x^2 = y", "\\frac{1}{2}", "E = m c^2", "n \\geq 1", "f(x)", "q(a \\vert b)", "n", "\\prod_{k=1}^{m} u_k", "a, b, c", "x \\to y")
 
 
-def composed(documents: int = 240, seed: int = 11) -> Iterator[tuple[str, str]]:
+def composed(documents: int = 900, seed: int = 11) -> Iterator[tuple[str, str]]:
     """Labelled texts put together by rule in each of four notations."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -289,21 +318,28 @@ def composed(documents: int = 240, seed: int = 11) -> Iterator[tuple[str, str]]:
         way, parts, letters = ("html", "md", "wiki", "tex")[d % 4], [], ""
         tight = way == "html" and rng.random() < 0.5
         for _ in range(int(rng.integers(1, 9))):
-            k = pick("pppphhllcf")
+            k = pick("pppphhllcfpphhllcfmbdqru")
             n, code, formula = int(rng.integers(2, 6)), pick(CODES), pick(FORMULAS)
             wrapped = k == "p" and rng.random() < 0.4
-            letters += k * n if k == "l" or wrapped else k
             items = [pick(PHRASES if rng.random() < 0.8 else SENTENCES[:8]) for _ in range(n)]
             head = pick(PHRASES)
+            if k in "mbdqru":
+                extra, marks = _mixed(k, way, pick, rng)
+                if extra:
+                    parts.append(extra)
+                    letters += marks
+                    tight = False
+                continue
+            letters += k * n if k == "l" or wrapped else k
             if k == "p" and wrapped and rng.random() < 0.4:  # a formula within the line
                 letters = letters[:-n] + "pfp"
                 t = f"{pick(PHRASES)} \\({formula}\\) {pick(PHRASES + SENTENCES[:8])}"
                 parts.append(f"<p>{t}</p>" if way == "html" else t)
             elif wrapped:  # lines broken within a paragraph
-                t = "\n".join(pick(PHRASES + SENTENCES[:8]) for _ in range(n))
+                t = "\n".join(pick(PHRASES + SENTENCES[:8]) if rng.random() < 0.5 else _line(rng) for _ in range(n))
                 parts.append(f"<p>{t}</p>" if way == "html" else t)
             elif k == "p":
-                t = pick(SENTENCES)
+                t = pick(SENTENCES) if rng.random() < 0.5 else _line(rng) + pick((".", ""))
                 parts.append({"html": pick(("<p>{}</p>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<P>{}<br/>")).format(t)}.get(way, t))
             elif k == "h" and way == "md" and rng.random() < 0.3:
                 parts.append(f"{head}\n{pick('=-') * max(3, len(head))}")
@@ -322,11 +358,46 @@ def composed(documents: int = 240, seed: int = 11) -> Iterator[tuple[str, str]]:
                 parts.append({"html": pick(("<pre>{}</pre>", "<pre><code>{}</code></pre>")).format(html.escape(code)), "md": indented if rng.random() < 0.4 and not after_list else f"```\n{code}\n```", "wiki": f"<source>\n{code}\n</source>", "tex": f"\\begin{{verbatim}}\n{code}\n\\end{{verbatim}}"}[way])
             else:
                 parts.append({"html": pick(("\\({}\\)", '<span class="math">{}</span>', "$${}$$")), "md": pick(("${}$", "$$\n{}\n$$")), "wiki": "<math>{}</math>", "tex": pick(("\\[ {} \\]", "${}$", "\\begin{{equation}}\n{}\n\\end{{equation}}"))}[way].format(formula))
+        if not parts:
+            continue
         yield ("" if tight else "\n" if way == "html" else "\n\n").join(parts), letters
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple:
-    """A decision tree by least Gini impurity; leaves are class numbers."""
+def _line(rng: np.random.Generator) -> str:
+    """A longer line, or so many of its last words."""
+    words = LONG[int(rng.integers(len(LONG)))].split(" ")
+    return " ".join(words[int(rng.integers(max(1, len(words) - 5))) :])
+
+
+def _mixed(k: str, way: str, pick, rng: np.random.Generator) -> tuple[str, str]:
+    """Blocks that the same sign opens, and that words and links around them tell apart."""
+    link = {"md": "[{0}](p/{1}.md)", "html": '<a href="p/{1}">{0}</a>', "wiki": "[[P{1}|{0}]]", "tex": "[{0}](p/{1}.md)"}[way]
+    row = (lambda xs: "".join(f"<div>{x}</div>" for x in xs)) if way == "html" else "\n".join
+    n = int(rng.integers(3, 6))
+    if k == "m":  # a menu: short link lines among each other
+        return row([link.format(pick(MENU), i) for i in range(n)]), "m" * n
+    if k == "b":  # a linked sentence or two are prose, and so is one short link alone
+        if rng.random() < 0.4:
+            return row([link.format(pick(MENU), 1)]), "p"
+        if rng.random() < 0.5:  # short lines with a link in them
+            return row([f"{pick(('see', 'As in', 'vgl.', 'Voir'))} {link.format(pick(MENU), i)} {pick(('too.', 'and more', 'below', 'in the old hand.'))}" for i in range(n)]), "p" * n
+        n = int(rng.integers(1, 4))
+        return row([link.format(pick(LONG), i) for i in range(n)]), "p" * n
+    if way == "html":
+        return "", ""
+    if k == "d":  # a sign that opens a line in the midst of a paragraph
+        return f"{pick(LONG)}\n{pick(INNER)}\n{pick(LONG)}", "ppp"
+    if k == "q":  # a lead and one item
+        return f"{pick(LEADS)}\n{pick(('-', '*', '1.', '2)'))} {pick(PHRASES[:18])}", "pl"
+    if k == "r":  # a rule under a long line
+        return (f"{pick(LONG)} {pick(LONG)}\n{'-' * 5}", "ps") if way == "md" else ("", "")
+    # money on both sides of many words is no formula
+    return f"It was $12 for {pick(LONG)} and then 9$ more", "ppp"
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 20, least: int = 3) -> tuple:
+    """A decision tree by least Gini impurity; leaves are class numbers and
+    stand for at least so many blocks."""
     if depth == 0 or (y == y[0]).all():
         return (int(np.bincount(y).argmax()),)
     best = None
@@ -335,6 +406,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple:
         cuts = (v[1:] + v[:-1]) / 2
         for cut in cuts if len(cuts) <= 12 else np.unique(np.quantile(cuts, np.linspace(0, 1, 12), method="nearest")):
             left = x[:, f] <= cut
+            if min(left.sum(), (~left).sum()) < least:
+                continue
             score = 0.0
             for part in (y[left], y[~left]):
                 p = np.bincount(part, minlength=len(KINDS)) / len(part)
@@ -345,7 +418,19 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple:
         return (int(np.bincount(y).argmax()),)
     _, f, cut = best
     left = x[:, f] <= cut
-    return (f, cut, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1))
+    low, high = grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least)
+    return low if len(low) == 1 and low == high else (f, cut, low, high)
+
+
+def used(t: tuple) -> dict[str, int]:
+    """How many nodes of a tree ask for each feature."""
+    if len(t) == 1:
+        return {}
+    out = {FEATURES[t[0]]: 1}
+    for part in t[2:]:
+        for f, n in used(part).items():
+            out[f] = out.get(f, 0) + n
+    return out
 
 
 @cache
@@ -372,34 +457,84 @@ def classify(blocks: list[Block], t: tuple | None = None) -> list[int]:
 
 
 # ---- text of the blocks -------------------------------------------------------------------------
+def _unbrace(t: str) -> tuple[str, bool]:
+    """The text without the commands and templates around braces, however deep,
+    in one pass: a command leaves its content, a note and a template nothing."""
+    out: list[str] = []
+    stack: list[tuple[str, int, str]] = []
+    found, at = False, 0
+
+    def shut(sign: str) -> None:
+        nonlocal found
+        if not stack:
+            out.append(sign)
+            return
+        kind, k, name = stack.pop()
+        if kind == "cmd":
+            found = True
+            out[k] = ""
+            if NOTES.match(name):
+                del out[k:]
+        else:
+            out.append(sign)
+
+    for m in BRACES.finditer(t):
+        out.append(t[at : m.start()])
+        at = m.end()
+        if m["both"]:
+            if stack and stack[-1][0] == "template":
+                del out[stack.pop()[1] :]
+                found = True
+            else:
+                shut("}")
+                shut("}")
+        elif m["shut"]:
+            shut("}")
+        else:
+            kind = "cmd" if m["cmd"] else "template" if m["template"] else "open"
+            stack.append((kind, len(out), m["name"] or ""))
+            out.append(m[0])
+    out.append(t[at:])
+    return "".join(out), found
+
+
+#: Escaped signs stand aside (in a private range) until the other signs are read.
+_ASIDE = 0xE000
+_BACK = {_ASIDE + i: i for i in range(33, 127)}
+
+
 def strip_inline(t: str, count_entities: bool = True) -> tuple[str, bool]:
-    """The text without inline markup, and whether there was any."""
+    """The text without inline markup, and whether there was any. Emphasis and
+    links within one another are read from the inside until none is left."""
     found = False
-    for _ in range(6):
+    if "{" in t:
+        t, found = _unbrace(t)
+    escaped = False
+
+    def sub(m: regex.Match) -> str:
+        nonlocal found, hit, escaped
+        if m["entity"]:
+            plain = html.unescape(m[0])
+            if plain == m[0]:
+                return m[0]
+            found |= count_entities
+            return plain
+        hit = found = True
+        if m["esc"]:
+            escaped = True
+            return chr(_ASIDE + ord(m[0][1]))
+        if m["tilde"]:
+            return " "
+        for g in ("image_in", "link_in", "wiki_in", "ext_in", "strong_in", "strong2_in", "em_in", "em2_in", "strike_in", "wikiem_in", "texquote_in", "tick_in"):
+            if m[g] is not None:
+                return m[g]
+        return ""
+
+    hit = True
+    while hit:
         hit = False
-
-        def sub(m: regex.Match) -> str:
-            nonlocal found, hit
-            if m["entity"]:
-                plain = html.unescape(m[0])
-                if plain == m[0]:
-                    return m[0]
-                found |= count_entities
-                return plain.replace(" ", " ")
-            hit = found = True
-            if m["esc"]:
-                return m[0][1:]
-            if m["tilde"]:
-                return " "
-            for g in ("image_in", "link_in", "wiki_in", "ext_in", "strong_in", "strong2_in", "em_in", "em2_in", "strike_in", "wikiem_in", "texquote_in", "cmd_in", "tick_in"):
-                if m[g] is not None:
-                    return m[g]
-            return ""
-
         t = INLINE.sub(sub, t)
-        if not hit:
-            break
-    return t, found
+    return (t.translate(_BACK) if escaped else t), found
 
 
 def analyse(text: str | None, grown: tuple | None = None) -> tuple[list[tuple[str, str, int, int]], set[str]]:
@@ -412,6 +547,9 @@ def analyse(text: str | None, grown: tuple | None = None) -> tuple[list[tuple[st
     for b, k in zip(blocks, classify(blocks, grown)):
         name = KINDS[k]
         t = b.text
+        if name == "menu":
+            other = True
+            continue
         if name == "code" or name == "formula":
             kinds.add(name)
             out.append((name, t, 0, b.gap))
@@ -427,11 +565,11 @@ def analyse(text: str | None, grown: tuple | None = None) -> tuple[list[tuple[st
             if (m := FRAME.match(t.strip())) and b.form == "line":
                 t, level = m[2], len(m[1])
             elif (m := HASHES.match(t)) and b.form == "line":
-                t, level = regex.sub(r"\s+#+\s*$", "", t[m.end() :]), len(m[1])
+                t, level = _HASH_END.sub("", t[m.end() :]), len(m[1])
         elif name == "list":
             kinds.add("list")
             if b.form == "line":
-                t = regex.sub(r"^[ \t]*(?:[-+*•#:;]+|\d{1,3}[.)])[ \t]*", "", t)
+                t = _ITEM_SIGN.sub("", t)
         else:
             if b.form == "line" and UNDER.match(t):
                 if not (out and out[-1][0] == "heading" and not b.blank):
@@ -440,9 +578,9 @@ def analyse(text: str | None, grown: tuple | None = None) -> tuple[list[tuple[st
             if QUOTE.match(t) and b.form == "line":
                 other = True
                 t = QUOTE.sub("", t, count=1)
-            if regex.match(r"\s*(?:\{\||\|\}|\|[-+]?)", t) or regex.match(r"\s*\|.*\|\s*$", t):
+            if "|" in t and _ROW.match(t):
                 other = True
-                t = regex.sub(r"^\s*(?:\{\|[^\n]*|\|\}|\|-+|\|)|\|\s*$|(?<=\s)\|(?=\s)", " ", t)
+                t = _ROW_SIGN.sub(" ", t)
                 if not t.strip(" -|:"):
                     continue
         t, had = strip_inline(t, name == "prose")

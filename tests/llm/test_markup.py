@@ -53,3 +53,42 @@ def test_rows(spark):
     df = spark.createDataFrame([("a", "# h", "x"), (None, "- l", "x"), ("b", None, "x")], "source_id string, comments_html string, kind string")
     assert sorted((r[0] or "", r[1]) for r in M.kinds(df).collect()) == [("", "list"), ("a", "heading")]
     assert M.clean(df).count() == 3 and M.kinds(df.limit(0)).count() == 0
+
+
+def test_the_tree_asks_for_words_and_links_of_blocks_and_neighbours():
+    u = M.used(M.tree())
+    assert u.get("words") and u.get("links")
+    assert u.get("p_words", 0) + u.get("n_words", 0) and u.get("p_links", 0) + u.get("n_links", 0)
+
+
+LONG = "The long account of the winter in which the river froze was read aloud by the keeper"
+DECIDED = [
+    # the same sign, told apart by the words around it
+    (f"{LONG}\n- as they say - until the evening\n{LONG}", ["prose"] * 3), ("Contents:\n- the old bridge", ["prose", "list"]),
+    (f"{LONG}\n12. of March in that year\n{LONG}", ["prose"] * 3), ("Contents:\n1. the old bridge", ["prose", "list"]),
+    ("Short title\n-----------", ["heading", "prose"]), (f"{LONG} and {LONG} {LONG}\n-----", ["prose", "prose"]),
+    (f"It was $12 for {LONG} and then 9$ more", ["prose"] * 3), ("So $x + y$ holds", ["prose", "formula", "prose"]),
+    # the same links, told apart by their words and neighbours
+    ("[Home](a.md)\n[About us](b.md)\n[Index](c.md)", ["menu"] * 3), ("[Home](a.md)", ["prose"]), (f"[{LONG}](a.md)\n[{LONG}](b.md)", ["prose"] * 2),
+    ("see [Home](a.md) too.\nAs in [Index](c.md) below", ["prose"] * 2),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), DECIDED)
+def test_words_and_links_decide(text, want):
+    assert [M.KINDS[k] for k in M.classify(M.flatten(text)[0])] == want
+
+
+def test_nested_signs_vanish_at_any_depth():
+    deep = "\\emph{" * 300 + "deep" + "}" * 300
+    assert M.strip_inline(deep) == ("deep", True)
+    assert M.strip_inline("a **b *c* ~~d~~** [e [f](g.md)](h.md)")[0] == "a b c d e f"
+    assert M.strip_inline("{{cite|{{p|{{q}}}}}}x \\footnote{a \\emph{b} c}y") == ("x y", True)
+    assert M.strip_inline("a \\*no\\* {b} \\x{open")[0] == "a *no* {b} \\x{open"
+    assert len(M.strip_inline("\\emph{" * 100_000)[0]) == 600_000
+
+
+def test_menus_are_left_out_of_the_clean_text_and_links_in_prose_are_not():
+    t = f"{LONG}.\n\n[Home](a.md)\n[About us](b.md)\n[Index](c.md)\n\n{LONG} [as linked](d.md)."
+    blocks, kinds = M.analyse(t)
+    assert kinds == {"other"} and M.render(blocks) == f"{LONG}.\n\n{LONG} as linked."
