@@ -5,6 +5,12 @@ nearest pivots in order; it is posted under each of them, with its place there.
 Vectors that meet in a posting list are ranked by the footrule distance of
 their permutations; those within the bound are ranked again by their cosine.
 
+Lists keep their length as the collection grows: up to ``PIVOTS`` pivots their
+number rises with the collection's root, and beyond that each list is divided by
+second pivots, the signed axes of a turn of its own: a vector falls to the axis
+nearest to the direction in which it lies off the first pivot. As every list has
+another turn, what two similar vectors miss in one list they meet in the next.
+
 Exact copies of a vector are one entry of the index: their rows are joined
 after the search, a bounded number of them per entry. A posting list longer
 than ``LIST`` is cut into parts, and every pair of parts is a task of its own,
@@ -36,6 +42,10 @@ SAMPLE = 16_384
 LIST = 16_384
 #: Places of a permutation that are kept.
 PREFIX = 8
+#: First pivots at most, the mean length of a list from which second pivots divide it, and those at most.
+PIVOTS, LENGTH, SECOND = 4096, 6_000, 128
+#: Lists up to which the table of cut lists is broadcast.
+SHOWN = 65_536
 
 
 def usable(vector: str = "vector", dimension: int = DIMENSION):
@@ -85,6 +95,30 @@ def footrule_overlap(a: np.ndarray, b: np.ndarray, prefix: int) -> np.ndarray:
     return out
 
 
+def _second(postings: int, m: int) -> int:
+    """Second pivots of each list: 1, or an even number that keeps lists short."""
+    if postings <= m * LENGTH:
+        return 1
+    return int(min(SECOND, 2 * np.ceil(postings / (m * LENGTH) / 2)))
+
+
+class Turns:
+    """The second pivots of every list, made by rule from the list's number."""
+
+    def __init__(self, lists: int, dim: int, m2: int):
+        rng = np.random.default_rng(17)
+        self.m2 = m2
+        self.axes = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : max(1, min(dim, m2 // 2))].astype(np.float32)
+        self.order = np.argsort(rng.random((lists, dim)), axis=1)
+        self.signs = rng.choice(np.array([-1, 1], dtype=np.float32), size=(lists, dim))
+
+    def lists(self, x: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The list of each vector under the given pivot of each."""
+        off = x - (x * c[p]).sum(axis=1, keepdims=True) * c[p]
+        t = np.take_along_axis(off, self.order[p], axis=1) * self.signs[p] @ self.axes
+        return p * self.m2 + np.argmax(np.concatenate([t, -t], axis=1), axis=1)
+
+
 class Index:
     """Pivots and the posting lists over them.
 
@@ -92,18 +126,23 @@ class Index:
     vectors, by default those that are indexed), so that the rows themselves
     are shuffled and written once."""
 
-    def __init__(self, vectors: DataFrame, id_col: str = "id", vector: str = "vector", n_pivots: int | None = None, posted: int = 5, prefix: int = PREFIX, dimension: int = DIMENSION, sample: int = SAMPLE, fit_on: DataFrame | None = None):
+    def __init__(self, vectors: DataFrame, id_col: str = "id", vector: str = "vector", n_pivots: int | None = None, posted: int = 5, prefix: int = PREFIX, dimension: int = DIMENSION, sample: int = SAMPLE, fit_on: DataFrame | None = None, second: int | None = None):
         self.spark = vectors.sparkSession
         self.prefix, self.posted, self.dim = prefix, min(posted, prefix), dimension
-        fit = (vectors if fit_on is None else fit_on).filter(usable(vector, dimension)).select(F.col(vector).cast("array<float>").alias("vector"))
-        n = self.n = fit.count()
-        # enough pivots that a list does not grow with the collection, within what a broadcast may hold
-        self.m = n_pivots or int(min(4096, max(16, 2 * np.sqrt(max(n, 1)))))
+        source = vectors if fit_on is None else fit_on
+        # rows of the source; of a plain table this is read from the files' footers
+        n = self.n = source.count()
+        self.m = n_pivots or int(min(PIVOTS, max(16, 2 * np.sqrt(max(n, 1)))))
+        self.m2 = second or _second(n * self.posted, self.m)
+        if self.m2 > 1:  # posted under all places, which makes up for what the division parts
+            self.posted = prefix
+            self.m2 = second or _second(n * prefix, self.m)
+        fit = source.filter(usable(vector, dimension)).select(F.col(vector).cast("array<float>").alias("vector"))
         share = min(1.0, 1.1 * sample / max(n, 1)) * 2**31
         picked = fit.withColumn("h", F.shiftrightunsigned(F.xxhash64("vector"), 33)).filter(F.col("h") <= F.lit(int(share))).orderBy("h").limit(sample).select("vector")
         got = picked.toPandas()["vector"].tolist() if n else []
-        x = np.stack(got).astype(np.float32) if got else np.zeros((0, dimension), np.float32)
-        self.pivots = pivots(_unit(x), self.m)
+        x = _unit(np.stack(got).astype(np.float32) if got else np.zeros((0, dimension), np.float32))
+        self.pivots = pivots(x, self.m)
         v = vectors.filter(F.col(id_col).isNotNull() & usable(vector, dimension))
         v = v.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
         # copies of a vector are one entry; the key is 96 bits of its content
@@ -115,11 +154,14 @@ class Index:
         self.entries = self.all.join(further, "id", "left_anti")
 
     def _permutations(self, v: DataFrame) -> DataFrame:
-        """(id, entry, vector as bytes, perm as bytes, near): the nearest pivots in order."""
+        """(id, entry, vector as bytes, perm as bytes, near): the nearest pivots
+        in order, and the lists they lead to."""
         shared, prefix, dim = self.spark.sparkContext.broadcast(self.pivots), self.prefix, self.dim
+        m2 = self.m2
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
+            turn = Turns(len(c), dim, m2) if m2 > 1 and len(c) else None
             p = min(prefix, len(c))
             for b in batches:
                 for lo in range(0, b.num_rows, 2048):
@@ -131,7 +173,10 @@ class Index:
                     if p < prefix:  # fewer pivots than places: pad with names that nobody shares
                         pad = -1 - (np.arange(len(x) * (prefix - p)).reshape(len(x), -1) % 30000)
                         near = np.concatenate([near, pad], axis=1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in near.astype(np.int16)], pa.binary()), pa.array(near[:, :prefix].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "entry", "vec", "perm", "near"])
+                    lists = near
+                    if turn:
+                        lists = np.stack([np.where(near[:, k] < 0, -1, turn.lists(x, c, np.maximum(near[:, k], 0))) for k in range(prefix)], axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in near.astype(np.int16)], pa.binary()), pa.array(lists[:, :prefix].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "entry", "vec", "perm", "near"])
 
         return v.mapInArrow(run, "id string, entry string, vec binary, perm binary, near array<int>")
 
@@ -144,8 +189,9 @@ class Index:
         width = max(posted, min(probes, prefix))
         post = perms.select("entry", "vec", "perm", F.posexplode(F.slice("near", 1, width)).alias("place", "pivot")).filter("pivot >= 0")
         size = perms.select(F.explode(F.slice("near", 1, posted)).alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(LIST)).alias("parts"))
-        # the number of lists is the number of pivots, at most 4096 rows
-        post = post.join(F.broadcast(size), "pivot")
+        # only lists that are cut need to be known; they are at most one for each LIST postings
+        size = size.filter("parts > 1")
+        post = post.join(F.broadcast(size) if self.m * self.m2 <= SHOWN else size, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
         h = F.pmod(F.xxhash64("entry"), F.col("parts"))
         # as an entry of the list it is in its part; as a query it looks into every part
         post = post.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
@@ -161,7 +207,9 @@ class Index:
 
         # about 320 bytes a posting, 32 MB a task
         width_ = max(shuffle_width(self.spark), int(width * self.n * 320 / 32e6) + 1)
-        lists = post.select("pivot", "part", "slot", "entry", "vec", "perm", "listed", "asks").repartition(width_, "pivot", "part", "slot").sortWithinPartitions("pivot", "part", "slot")
+        # without a bound on the overlap nobody looks at the permutations
+        perm = "perm" if least_overlap > 1 else F.lit(b"").alias("perm")
+        lists = post.select("pivot", "part", "slot", "entry", "vec", perm, "listed", "asks").repartition(width_, "pivot", "part", "slot").sortWithinPartitions("pivot", "part", "slot")
         return lists.mapInArrow(run, "entry string, other string, sim float")
 
     def _replicate(self, post: DataFrame) -> DataFrame:
@@ -228,12 +276,12 @@ def _search(rows: pa.Table, k: int, least: float, overlap: int, prefix: int, dim
     rows = rows.combine_chunks()
     names = rows.column("entry").combine_chunks()
     x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
-    perm = np.frombuffer(b"".join(rows.column("perm").to_pylist()), dtype=np.int16).reshape(-1, prefix)
+    perm = np.frombuffer(b"".join(rows.column("perm").to_pylist()), dtype=np.int16).reshape(-1, prefix) if overlap > 1 else None
     listed = np.flatnonzero(rows.column("listed").to_numpy(zero_copy_only=False))
     asks = np.flatnonzero(rows.column("asks").to_numpy(zero_copy_only=False))
     if not len(listed) or not len(asks):
         return
-    y, yp = x[listed], perm[listed]
+    y, yp = x[listed], perm[listed] if overlap > 1 else None
     where = np.full(len(x), -1)
     where[listed] = np.arange(len(listed))
     step = max(1, 4_000_000 // len(listed))

@@ -52,9 +52,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The 5 most similar other chunks of every chunk."""
-    index = neighbours.Index(_vectors(spark, d), n_pivots=256, posted=8, prefix=16, fit_on=load(spark, d, "chunks").select("vector"))
-    return index.neighbours(5, probes=8)
+    """The 5 most similar other chunks of every chunk: posted under 4 pivots,
+    sought under 32, so that the work grows with the root of the collection for each row."""
+    index = neighbours.Index(_vectors(spark, d), posted=4, prefix=32, second=1, fit_on=load(spark, d, "chunks").select("vector"))
+    return index.neighbours(5, probes=32)
 
 
 def _comments(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import neighbours as N
 
@@ -63,3 +64,25 @@ def test_footrule():
         return sum(abs(place(p, x) - place(q, x)) for x in set(p) | set(q))
 
     assert dist == [plain([3, 1, 2], r.tolist()) for r in b]
+
+
+def test_second_pivots_divide_the_lists_and_keep_the_similar_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2400, 64))
+    x[1200:] = x[:1200] + 0.25 * rng.normal(size=(1200, 64))  # each with a partner of cosine 0.9 and more
+    s, _ = exact(x, 5)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.9)))}
+    plain = N.Index(table(spark, x), n_pivots=16, posted=5)
+    split = N.Index(table(spark, x), n_pivots=16, posted=5, second=8)
+    longest = [i.entries.select(F.explode(F.slice("near", 1, 5)).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0] for i in (plain, split)]
+    assert longest[1] * 2 < longest[0] and (plain.m2, split.m2, split.posted) == (1, 8, 8)
+    got = {tuple(sorted((int(r["id"][1:]), int(r["other"][1:])))) for r in split.neighbours(5, 0.9, least_overlap=4).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) > 900
+
+
+def test_lists_keep_their_length():
+    for n in (10**4, 10**6, 10**7, 10**8, 3 * 10**8):
+        m = int(min(N.PIVOTS, max(16, 2 * np.sqrt(n))))
+        m2 = N._second(n * 5, m)
+        m2 = N._second(n * 8, m) if m2 > 1 else m2
+        assert n * (8 if m2 > 1 else 5) / (m * m2) <= N.LENGTH
