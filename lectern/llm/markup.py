@@ -624,11 +624,14 @@ def render(blocks: list[tuple[str, str, int, int]]) -> str:
 
 
 def prose(blocks: list[tuple[str, str, int, int]]) -> str:
-    """The running text alone; a formula leaves a blank."""
+    """The running text alone, and items and headings that end as sentences do;
+    a formula leaves a blank."""
     parts: list[str] = []
     for kind, t, _, gap in blocks:
         if kind == "prose":
             parts.append(("" if not parts else (" ", "\n", "\n\n")[gap]) + t)
+        elif kind in ("list", "heading") and t[-1:] in ".!?…。！？।؟":
+            parts.append(("\n\n" if parts else "") + t + "\n\n")
         elif kind != "formula":
             parts.append("\n\n" if parts else "")
     return "".join(parts)
