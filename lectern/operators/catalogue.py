@@ -197,11 +197,17 @@ def alike(texts: DataFrame, share: float) -> DataFrame:
     return pairs.withColumn("likeness", edit_likeness(F.col("t"), F.col("bt"))).filter(F.col("likeness") >= 100 * share - 1e-3)
 
 
+#: Fixed value: what a shop puts behind a title.
+EDITION = r"(?i)\s*\([\p{L}\p{M}\p{N}_\s]+Edition\)\s*$"
+
+
 def match(items: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:
     """Links outside records (item, code, title, author) to documents: by code,
     then by normalised title where one author holds the other (an empty one fits
     all), then by the best likeness of title and author, or of the title alone
-    where either has no author. Records without a title are linked by code only."""
+    where either has no author. A record's title counts without the name of its
+    edition; records without a title are linked by code only."""
+    items = items.withColumn("title", F.regexp_replace("title", EDITION, ""))
     b = books.select(F.col("source_id").alias("book"), "title", F.array_join(arr("authors"), " & ").alias("author"), F.map_values(F.coalesce("identifiers", F.create_map())).alias("codes"))
     code = items.filter(F.coalesce("code", F.lit("")) != "").select("item", F.upper("code").alias("k"))
     by_code = code.join(b.select("book", F.explode("codes").alias("k0")).select("book", F.upper("k0").alias("k")), "k").groupBy("item").agg(F.min("book").alias("book")).select("item", "book", F.lit(100.0).alias("score"), F.lit("code").alias("how"))
@@ -228,22 +234,3 @@ def match(items: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:
             left = left.join(fuzzy, "item", "left_anti")
         out = out.unionByName(fuzzy)
     return out
-
-
-def match_by_words(items: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:
-    """The narrower rule that the SQL of ``lk6_match`` and ``lk7_unmatched`` states:
-    the exact step looks at no author, an empty author counts as unlike, and only
-    titles that share a word of five letters are compared. ``match`` is the whole."""
-    b = books.select(F.col("source_id").alias("book"), "title", F.array_join(arr("authors"), " & ").alias("author"), F.map_values(F.coalesce("identifiers", F.create_map())).alias("codes"))
-    code = items.filter(F.coalesce("code", F.lit("")) != "").select("item", F.upper("code").alias("k"))
-    by_code = code.join(b.select("book", F.explode("codes").alias("k0")).select("book", F.upper("k0").alias("k")), "k").groupBy("item").agg(F.min("book").alias("book")).select("item", "book", F.lit(100.0).alias("score"), F.lit("code").alias("how"))
-    left = items.join(by_code, "item", "left_anti")
-    it = left.select("item", tx.normal_text(F.col("title")).alias("nt"))
-    exact = it.join(b.select("book", tx.normal_text(F.col("title")).alias("nt")), "nt").groupBy("item").agg(F.min("book").alias("book")).select("item", "book", F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
-    left = left.join(exact, "item", "left_anti")
-    w = lambda c: F.explode(F.array_distinct(F.filter(F.split(tx.normal_text(c), " "), lambda x: F.length(x) >= 5)))
-    cand = left.select("item", w(F.col("title")).alias("w")).join(b.select("book", w(F.col("title")).alias("w")), "w").select("item", "book").distinct()
-    s = cand.join(left.select("item", F.col("title").alias("t"), F.col("author").alias("a")), "item").join(b.select("book", F.col("title").alias("bt"), F.col("author").alias("ba")), "book")
-    s = s.withColumn("score", F.round(0.7 * similarity(F.col("t"), F.col("bt")) + 0.3 * similarity(F.col("a"), F.col("ba")), 4)).filter(F.col("score") >= least)
-    fuzzy = s.groupBy("item").agg(F.max_by("book", F.struct("score", F.col("book"))).alias("book"), F.max("score").alias("score")).withColumn("how", F.lit("fuzzy"))
-    return by_code.unionByName(exact).unionByName(fuzzy)

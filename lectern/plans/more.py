@@ -303,12 +303,7 @@ def _items(spark, d):
     return catalogue._items(spark, d)
 
 
-def ex29_instruction(spark, d):
-    return _instruction(book_view(spark, d).filter("calibre_id <= 20"))
-
-
 def ex29_instruction_all(spark, d):
-    """Every document; the SQL of ``ex29_instruction`` takes twenty."""
     return _instruction(book_view(spark, d))
 
 
@@ -340,7 +335,7 @@ _top = PR._top
 _AUTH = "array_to_string(coalesce(authors, []), '{}')"
 _OVER = lambda ws, c="text": f"round(len(list_filter({sorted(set(ws))!r}, lambda w: list_contains(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), w)))::double / {len(set(ws))}, 6)"
 _STRIP = r'''trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))'''
-from lectern.plans.catalogue import _json  # noqa: E402
+from lectern.plans.catalogue import _AUTH, _MATCH, _json, match_sql  # noqa: E402
 
 _LANGS = ", ".join(f"{{'s': len(list_filter(t, lambda x: list_contains({ws!r}, x)))::double / greatest(len(t), 1), 'k': '{k}'}}" for k, ws in sorted(tx.STOP_WORDS.items()))
 ORACLE = {
@@ -385,10 +380,19 @@ ORACLE = {
     "ex9_tags": f"{_B} select source_id from bk where list_contains(coalesce(tags, []), 'law') and not list_contains(coalesce(tags, []), 'history')",
     "ex11_file_hash": "select run_id, md5(cast(epoch_us(started_at) * 1000 as varchar) || ':' || run_id) hash from index_runs",
     "ex19_toc_map": f"{_C}, e as (select source_file, section_title, min(chunk_index) i from ch where section_title <> '' group by 1, 2) select source_file, arg_min(section_title, (i, section_title)) chapter, count(*) - 1 further from e group by 1",
-    "ex29_instruction": f"{_B} select source_id, 'Add the tag to ' || title || ' (now: ' || array_to_string(coalesce(tags, []), ', ') || ')' instruction from bk where calibre_id <= 20",
+    "ex29_instruction_all": f"{_B} select source_id, 'Add the tag to ' || title || ' (now: ' || array_to_string(coalesce(tags, []), ', ') || ')' instruction from bk",
     "ex31_counters": "select run_id run, status state, count(*) n from (select distinct on (log_id) * from index_log) group by 1, 2",
     "ex32_classes": "select * from (values ('cuda', 6, 'minimal'), ('cuda', 12, 'balanced'), ('cuda', 24, 'maximal'), ('mps', 0, 'balanced'), ('cpu', 0, 'minimal')) v(device, gb, profile)",
     "ex37_sources": f"{PR._FED} select id, rk as rank from fe where source = 'b'",
 }
-_ROWS_ONLY = ["jo10_fuzzy", "wi12_quality", "re11_cited", "tx10_paragraphs", "tx15_pages", "tx20_comments", "ex16_book_ids", "ex28_import", "ex29_instruction_all"]
+_FIRST = "coalesce(nullif(authors[1], ''), 'Unknown')"
+_KEY = f"lower(concat_ws('_', {_FIRST}, title, calibre_id::varchar))"
+for _a, _r in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+    _KEY = f"replace({_KEY}, '{_a}', '{_r}')"
+ORACLE |= {
+    "jo10_fuzzy": match_sql(f"select 'i' || source_id item, null::varchar code, title || 'x' title, {_AUTH} author from b", 60) + " select item, score, how from al",
+    "ex16_book_ids": f"{_B} select source_id, regexp_replace(substr(regexp_replace(regexp_replace({_KEY}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') book_key from bk",
+    "ex28_import": f"{_MATCH}, n as (select book, item, title from al join i0 using (item) where trim(coalesce(title, '')) <> '') select 'reader_' || book || '_note_' || (row_number() over (partition by book order by item, title) - 1) id, book as book_id from n",
+}
+_ROWS_ONLY = ["wi12_quality", "re11_cited", "tx10_paragraphs", "tx15_pages", "tx20_comments"]
 QUERIES = {k: f for k, f in list(globals().items()) if (k in ORACLE or k in _ROWS_ONLY) and callable(f)}

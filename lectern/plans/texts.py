@@ -20,17 +20,8 @@ def _docs(spark, d):
     return load(spark, d, "documents").filter("text is not null")
 
 
-def _turns(spark, d):
-    """Messages with a plain reading of the role and a dense turn."""
-    a = load(spark, d, "speaker_alias")
-    m = load(spark, d, "chat_messages").filter("platform = 'lesechat' and seq is not null").dropDuplicates(["msg_id"])
-    bare = F.trim(F.regexp_replace(F.lower("speaker"), r"[*\[\]:]+", ""))
-    m = m.withColumn("alias_form", bare).join(F.broadcast(a), "alias_form", "left")
-    return m.select("conv_id", "msg_id", F.col("seq").alias("turn"), F.coalesce("speaker_role", F.lit("unknown")).alias("speaker"), "content")
-
-
 def _all_turns(spark, d):
-    """The turns of every platform; those of the SQL are one platform's."""
+    """The turns of every platform."""
     return O.turns(load(spark, d, "chat_messages"), load(spark, d, "speaker_alias"))
 
 
@@ -51,10 +42,6 @@ def _exchanges(turns):
     return K.exchanges(turns).groupBy("conv_id", "exchange").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
 
 
-def tx4_exchanges(spark, d):
-    return _exchanges(_turns(spark, d))
-
-
 def tx4_exchanges_all(spark, d):
     return _exchanges(_all_turns(spark, d))
 
@@ -255,10 +242,6 @@ def _flat(turns):
     return m.select("conv_id", "m.turn", "m.speaker", F.md5(F.coalesce("m.content", F.lit(""))).alias("hash"))
 
 
-def sc31_flat(spark, d):
-    return _flat(_turns(spark, d))
-
-
 def sc31_flat_all(spark, d):
     return _flat(_all_turns(spark, d))
 
@@ -282,10 +265,6 @@ def _markdown(turns):
     return turns.groupBy("conv_id").agg(F.md5(F.array_join(line, "\n\n")).alias("hash"), F.count("*").alias("turns"))
 
 
-def ex24_markdown(spark, d):
-    return _markdown(_turns(spark, d))
-
-
 def ex24_markdown_all(spark, d):
     return _markdown(_all_turns(spark, d))
 
@@ -298,8 +277,6 @@ def ex33_codes(spark, d):
 _C = f"with {CHUNKS}"
 _CB = f"with {CHUNKS}, {BOOKS}"
 _D = "with dc as (select * from documents where text is not null)"
-_T = r"""tn as (select distinct on (msg_id) conv_id, msg_id, seq as turn, coalesce((select max(speaker_role) from speaker_alias where alias_form = trim(regexp_replace(lower(speaker), '[*\[\]:]+', '', 'g'))), 'unknown') speaker, content
-   from chat_messages where platform = 'lesechat' and seq is not null)"""
 _SP = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}\x{85}]"
 _BACK = "|".join(tx.BACK)
 _FRONT = "|".join(tx.FRONT)
@@ -310,7 +287,6 @@ _ASOF = f"{_C}, {_TOC}, mp as (select c.id, c.page_number, c.chapter, (select ar
 
 ORACLE = {
     "tx1_fixed": f"{_C}, k as (select id, text, unnest(generate_series(0, greatest(cast(ceil((length(text) - 50) / 450.0) as bigint) - 1, 0))) i from ch where length(text) > 0) select id, i::integer chunk_index, (i * 450)::integer as start, md5(substr(text, i * 450 + 1, 500)) hash from k",
-    "tx4_exchanges": f"with {_T}, a as (select *, case when speaker = 'human' and coalesce(lag(speaker) over (partition by conv_id order by turn, msg_id), 'assistant') <> 'human' then 1 else 0 end n from tn), b as (select *, sum(n) over (partition by conv_id order by turn, msg_id) exchange from a) select conv_id, exchange::bigint exchange, count(*) turns, min(turn) first_turn from b group by 1, 2",
     "tx8_runs": f"{_C}, a as (select book_id, chunk_index, id, case when coalesce(lag(section_type) over w, chr(1)) = section_type and coalesce(lag(chapter) over w, chr(1)) = chapter and coalesce(lag(section_title) over w, chr(1)) = section_title then 0 else 1 end n from ch window w as (partition by book_id order by chunk_index, id)) select book_id, sum(n)::bigint runs from a group by 1",
     "tx9_window": f"{_D}, a as (select doc_id, text, least(700, length(text)) lo, least(least(700, length(text)) + 300, length(text)) hi from dc) select doc_id, md5(substr(text, greatest(lo - 500, 0) + 1, hi + 500 - greatest(lo - 500, 0))) hash from a",
     "tx11_page_numbers": f"{_C}, a as (select id, page_label, string_split(text, chr(10)) l from ch) select id, md5(array_to_string(list_filter(l, lambda x, i: not (trim(x) = page_label and page_label <> '' and (i <= 3 or i > len(l) - 2))), chr(10))) hash from a",
@@ -341,12 +317,14 @@ ORACLE = {
     "sc21_scanned_pages": f"{_C} select book_id, round(avg(case when length(text) >= 100 then 1.0 else 0.0 end), 6) share, avg(case when length(text) >= 100 then 1.0 else 0.0 end) < 0.3 scanned from ch where page_number > 0 group by 1",
     "sc25_clippings": rf"{_D} select doc_id, regexp_extract(text, '^(.*?) \(([^()\r\n]+)\)\r?\n', 1) title, regexp_extract(text, '^(.*?) \(([^()\r\n]+)\)\r?\n', 2) author, try_cast(nullif(regexp_extract(text, 'Location (\d+)-(\d+)', 1), '') as integer) lo, try_cast(nullif(regexp_extract(text, 'Location (\d+)-(\d+)', 2), '') as integer) hi from dc where doc_kind = 'clipping'",
     "sc27_sidecars": f"{_C} select distinct source_file, sha256(source_file) || '.json' sidecar from ch",
-    "sc31_flat": f"with {_T} select conv_id, turn, speaker, md5(coalesce(content, '')) hash from tn",
     "ex2_by_type": f"{_C} select annotation_type, count(*) n from ch where chunk_type = 'annotation' and book_id = 'b000000001' group by 1",
     "ex3_annotated": f"{_C} select book_id, count(*) n, max(indexed_at) latest from ch where chunk_type = 'annotation' group by 1",
     "ex20_clean_lines": _D + r""" select doc_id, md5(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_replace(x, '^[\t\x0b\f\r \x{85}\p{Z}]+|[\t\x0b\f\r \x{85}\p{Z}]+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10))) hash from dc""",
-    "ex24_markdown": f"with {_T} select conv_id, md5(string_agg('**' || speaker || ':** ' || coalesce(content, ''), chr(10) || chr(10) order by turn, msg_id)) hash, count(*) turns from tn group by 1",
     "ex33_codes": f"{_C} select distinct language, case language when 'en' then 'eng' when 'de' then 'deu' when 'fr' then 'fra' when 'es' then 'spa' when 'it' then 'ita' else 'und' end code from ch",
 }
-_ROWS_ONLY = ["tx2_paragraphs", "tx3_markdown", "tx4_dialogue", "tx4_exchanges_all", "sc31_flat_all", "ex24_markdown_all", "tx6_words", "tx8_parents", "tx13_roman", "wi15_labels"]
+_DIGIT = "case x when 'm' then 1000 when 'd' then 500 when 'c' then 100 when 'l' then 50 when 'x' then 10 when 'v' then 5 else 1 end"
+ORACLE["tx13_roman"] = rf"""{_C}, p as (select distinct page_label, lower(trim(page_label)) r from ch), v as (select *, case when r <> '' and regexp_full_match(r, 'm{{0,3}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})') then list_transform(string_split(r, ''), lambda x: {_DIGIT}) end d from p),
+   e as (select page_label, d, unnest(coalesce(d, [0])) n, generate_subscripts(coalesce(d, [0]), 1) i from v)
+   select page_label, case when any_value(d) is not null then sum(case when n < coalesce(d[i + 1], 0) then -n else n end)::bigint end as value from e group by 1"""
+_ROWS_ONLY = ["tx2_paragraphs", "tx3_markdown", "tx4_dialogue", "tx4_exchanges_all", "sc31_flat_all", "ex24_markdown_all", "tx6_words", "tx8_parents", "wi15_labels"]
 QUERIES = {k: f for k, f in list(globals().items()) if (k in ORACLE or k in _ROWS_ONLY) and callable(f)}

@@ -60,3 +60,10 @@ def test_no_pair_is_lost(spark):
                 want[it] = (top[1], top[0], "fuzzy")
         got = {x["item"]: (x["book"], round(x["score"], 4), x["how"]) for x in C.match(i, b, least).collect()}
         assert got == want, least
+
+
+def test_codes_and_editions(spark):
+    b = spark.createDataFrame([("b1", "Letters", ["Adams"], {"asin": "B00X1"}), ("b2", "Storms", ["Berg"], None)], BOOKS)
+    i = spark.createDataFrame([("i1", "b00x1", "Another title", "Nobody"), ("i2", "none", "Storms (German Edition)", "berg"), ("i3", None, "Storms (2nd  Reading Edition) ", None), ("i4", None, "Storms (Edition of 1800)", None)], ITEMS)
+    got = {r["item"]: (r["book"], r["how"]) for r in C.match(i, b).collect()}
+    assert got == {"i1": ("b1", "code"), "i2": ("b2", "exact"), "i3": ("b2", "exact")}
