@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.operators import retrieval as R
+from lectern.operators.indexes import KeywordIndex, VectorIndex
 from lectern.plans.sql import CHUNKS, COSINE, OK, QUERY, bm25
+from lectern.session import shared_dir
 from lectern.tables import chunk_view
 
 PHRASE, WORDS = "the order of the chapters", "winter storms register"
@@ -41,6 +45,22 @@ def re2_bm25(spark: SparkSession, d: str) -> DataFrame:
     return R.keyword_search(chunk_view(spark, d), WORDS, 25).select("id", "score", "rank")
 
 
+def _index_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
+def re2_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over stored postings: only the terms' buckets are read."""
+    index = KeywordIndex(spark, _index_path(spark)).add(chunk_view(spark, d), buckets=16)
+    return index.search(WORDS, 25).select("id", "score", "rank")
+
+
+def re1_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over stored lists, all of them probed, which is exact."""
+    c = chunk_view(spark, d)
+    return VectorIndex(spark, _index_path(spark)).add(c).search(_vector(c), 20, probes=1 << 30).select("id", "score", "rank")
+
+
 def re2_postings(spark: SparkSession, d: str) -> DataFrame:
     p = R.postings(chunk_view(spark, d))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 20")
@@ -211,6 +231,8 @@ _hit = lambda k: rf"regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_\p{{M}}]){k
 ORACLE = {
     "re1_vector_search": f"{_V} select id, score, rank from {_top('vs', 20)}",
     "re1_vector_search_filtered": f"{_V}, f as (select * from vs where language = 'en' and section_type in ('main_content', '') and chunk_type in ('content', 'child')) select id, score, rank, language, section_type, chunk_type from {_top('f', 20)}",
+    "re2_stored": f"{_KW} select id, score, rank from {_top('kw', 25)}",
+    "re1_stored": f"{_V} select id, score, rank from {_top('vs', 20)}",
     "re2_bm25": f"{_KW} select id, score, rank from {_top('kw', 25)}",
     "re2_postings": rf"{_C}, x as (select distinct id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) term from ch), y as (select unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) term from ch) select term, df, cf from (select term, count(*) df from x group by 1) join (select term, count(*) cf from y group by 1) using (term) where df >= 20",
     "re3_hybrid": f"{_V}, {bm25(TERMS)}, a as (select id, rank vr from {_top('vs', 30)}), b as (select id, rank tr from {_top('kw', 30)}), f as (select id, round(coalesce(1.0::double / (60 + vr), 0) + coalesce(1.0::double / (60 + tr), 0), 9) score from a full join b using (id)) select id, score, rank from {_top('f', 30)}",
