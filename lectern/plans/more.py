@@ -236,7 +236,7 @@ def lk14_first_seen(spark, d):
 
 def lk15_snapshot(spark, d):
     b = book_view(spark, d)
-    return b.select("source_id", "title", C.authors_text("; ").alias("authors"), F.array_join(F.sort_array(C.arr("tags")), ",").alias("tags"), F.coalesce("annotation_hash", F.lit("")).alias("annotation_hash"))
+    return b.select("source_id", "title", C.authors_text().alias("authors"), F.array_join(F.sort_array(C.arr("tags")), ",").alias("tags"), F.coalesce("annotation_hash", F.lit("")).alias("annotation_hash"))
 
 
 def lk19_reindex_comments(spark, d):
