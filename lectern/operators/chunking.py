@@ -69,8 +69,9 @@ SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？।])")
 def _parts(text: str, lo: int, hi: int, cut: re.Pattern) -> list[Span]:
     out, at = [], lo
     for m in cut.finditer(text, lo, hi):
-        out.append((at, m.end()))
-        at = m.end()
+        if m.end() > at:  # a cut of no width may lie where the part begins
+            out.append((at, m.end()))
+            at = m.end()
     return [*out, (at, hi)] if at < hi else out
 
 

@@ -89,6 +89,15 @@ def test_chunkers_lose_no_text(spark, how):
         assert all(b - a <= limit for a, b in spans)
 
 
+@pytest.mark.parametrize("how", ["paragraph", "markdown", "dialogue"])
+def test_words_over_the_size_are_cut_anywhere(spark, how):
+    texts = ["a " + "x" * 9000 + " b", "One. " + "y" * 4000, "甲。" + "乙" * 5000 + "。丙", "\n\n".join("z" * 4000 for _ in range(3))]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    rows = K.chunk(d, "k", "t", how).orderBy("k", "chunk_index").collect()
+    assert ["".join(r["chunk"] for r in rows if r["k"] == k) for k in range(len(texts))] == texts
+    assert all(0 < len(r["chunk"]) <= 3300 for r in rows)
+
+
 def test_word_chunks_overlap(spark):
     t = " ".join(f"w{i}" for i in range(2000))
     s = K.word_spans(t)
