@@ -121,7 +121,7 @@ def sc32_projection(spark, d):
 def sk11_prepared(spark, d):
     """Chunks written with headers and read back, truncated documents apart."""
     at = f"{shared_dir(spark)}/prepared-{uuid.uuid4().hex}"
-    X.write_prepared(chunk_view(spark, d).select("book_id", "id", "text"), at)
+    X.write_prepared(chunk_view(spark, d).select("book_id", "id", "text"), at, buckets=64)
     ok, _ = X.read_prepared(spark, at)
     return ok.groupBy("book_id").agg(F.count("*").alias("n"))
 

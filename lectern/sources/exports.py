@@ -94,12 +94,19 @@ def moment(c: Column) -> Column:
 
 
 # ---- prepared chunks ---------------------------------------------------------------------------
-def write_prepared(chunks: DataFrame, path: str) -> None:
-    """Chunks of each document beside a header with their number, as JSON lines
-    partitioned by document; the commit of the job makes them appear at once."""
+def write_prepared(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Chunks of each document beside a header with their number, as JSON lines;
+    the commit of the job makes them appear at once. A document has a folder of
+    its own, or with ``buckets`` shares one with others: a library of many
+    documents would be as many files."""
     head = chunks.groupBy("book_id").agg(F.count("*").alias("chunk_count")).select("book_id", F.lit(True).alias("_header"), "chunk_count", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("text"))
     rows = chunks.select("book_id", F.lit(False).alias("_header"), F.lit(None).cast("long").alias("chunk_count"), "id", "text")
-    head.unionByName(rows).write.mode("overwrite").partitionBy("book_id").json(path)
+    d, folder = head.unionByName(rows), "book_id"
+    if buckets:
+        d, folder = d.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(buckets)).cast("int")), "bucket"
+    # A folder's lines come from one task, and where they are many from several.
+    d = d.hint("rebalance", F.col(folder)).sortWithinPartitions(folder, "book_id", F.col("_header").desc())
+    d.write.mode("overwrite").partitionBy(folder).json(path)
 
 
 def read_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +115,7 @@ def read_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     d = spark.read.schema("_header boolean, chunk_count long, id string, text string, book_id string").json(path)
     n = d.groupBy("book_id").agg(F.max("chunk_count").alias("wanted"), F.sum((~F.col("_header")).cast("long")).alias("got"))
     bad = n.filter("wanted is null or got <> wanted")
-    return d.filter("not _header").join(bad, "book_id", "left_anti").select("book_id", "id", "text"), bad
+    return d.filter("not _header").alias("d").join(bad.alias("b"), F.col("d.book_id").eqNullSafe(F.col("b.book_id")), "left_anti").select("book_id", "id", "text"), bad
 
 
 def export_markdown(results: DataFrame, title: str) -> DataFrame:

@@ -96,6 +96,23 @@ def test_prepared_round_trip_and_truncation(spark, tmp_path):
     assert [r["book_id"] for r in ok.collect()] == ["b2"] and bad.first()["book_id"] == "b1"
 
 
+def test_a_library_is_prepared_in_few_files(spark, tmp_path):
+    rows = [(f"b{k // 3}", str(k), "x") for k in range(600)] + [("", "e1", "y"), ("", "e2", None)]
+    d = spark.createDataFrame(rows, "book_id string, id string, text string").repartition(4)
+    X.write_prepared(d, str(tmp_path / "p"), buckets=8)
+    files = list((tmp_path / "p").rglob("*.json"))
+    assert len(files) == 8 and all('"_header":true' in f.read_text().split("\n")[0] for f in files)
+    ok, bad = X.read_prepared(spark, str(tmp_path / "p"))
+    assert sorted(map(tuple, ok.collect()), key=str) == sorted(rows, key=str) and bad.count() == 0
+    f = next(f for f in files if '"id":"22"' in f.read_text())
+    f.write_text("".join(x + "\n" for x in f.read_text().splitlines() if '"id":"22"' not in x))
+    (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    ok, bad = X.read_prepared(spark, str(tmp_path / "p"))
+    assert ok.count() == len(rows) - 3 and [r["book_id"] for r in bad.collect()] == ["b7"]
+    X.write_prepared(d.filter("book_id in ('b1', 'b2')"), str(tmp_path / "q"))
+    assert [len(list(x.glob("*.json"))) for x in sorted((tmp_path / "q").glob("book_id=*"))] == [1, 1]
+
+
 def test_html_and_epub(spark, tmp_path):
     p = T.parse_html("<title>T</title><nav>no</nav><h2>Head</h2><p>One<p>Two <b>x</b><ul><li>a<li>b</ul><div>loose</div><script>z</script>", True)
     assert p.out == ["## Head", "One", "Two **x**", "- a", "- b", "loose"] and p.title == "T"
