@@ -197,6 +197,23 @@ def alike(texts: DataFrame, share: float) -> DataFrame:
     return pairs.withColumn("likeness", edit_likeness(F.col("t"), F.col("bt"))).filter(F.col("likeness") >= 100 * share - 1e-3)
 
 
+def contenders(records: DataFrame, near: DataFrame, books: DataFrame) -> DataFrame:
+    """(t, a, book, score): the best book of each record's (t, a) own author, and
+    the books of others (bt, ba, book) that may still do as well. No author is
+    nearer than the same one, so they need a title nearer than that book's, or no
+    author at all and a title as near as its score."""
+    scored = lambda a: F.round(0.7 * F.col("likeness") + 0.3 * a, 4)
+    most = scored(F.lit(100.0))
+    of_one = books.filter("ba <> ''").withColumnRenamed("ba", "a")
+    same = records.filter("a <> ''").join(near, "t").join(of_one, ["bt", "a"])
+    same = same.groupBy("t", "a").agg(F.max(F.struct(most.alias("score"), "book")).alias("m")).select("t", "a", "m.book", "m.score")
+    rest = records.join(same.select("t", "a", F.col("score").alias("bar")), ["t", "a"], "left").join(near, "t")
+    rest = rest.filter(F.col("bar").isNull() | (most > F.col("bar")) | (F.col("likeness") >= F.col("bar"))).join(books, "bt")
+    rest = rest.filter(F.col("bar").isNull() | (most > F.col("bar")) | (F.col("ba") == ""))
+    score = F.when((F.col("a") == "") | (F.col("ba") == ""), F.col("likeness")).otherwise(scored(edit_likeness(F.col("a"), F.col("ba"))))
+    return same.unionByName(rest.select("t", "a", "book", score.alias("score")))
+
+
 #: Fixed value: what a shop puts behind a title.
 EDITION = r"(?i)\s*\([\p{L}\p{M}\p{N}_\s]+Edition\)\s*$"
 
@@ -216,18 +233,17 @@ def match(items: DataFrame, books: DataFrame, least: float = 80.0) -> DataFrame:
     b = b.select("book", "title", names("title").alias("nt"), names("author").alias("ba")).filter("nt <> ''")
     exact = left.join(b.select("book", "nt", "ba"), "nt").filter(F.contains("na", "ba") | F.contains("ba", "na"))
     exact = exact.groupBy("item").agg(F.min("book").alias("book")).select("item", "book", F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
-    left = left.join(exact, "item", "left_anti").select("item", sorted_words(F.col("title")).alias("t"), ordered_words(F.col("na")).alias("a"))
-    b = b.groupBy(sorted_words(F.col("title")).alias("bt"), ordered_words(F.col("ba")).alias("ba")).agg(F.max("book").alias("book"))
+    left = cut(left.join(exact, "item", "left_anti").select("item", sorted_words(F.col("title")).alias("t"), ordered_words(F.col("na")).alias("a")))
+    b = cut(b.groupBy(sorted_words(F.col("title")).alias("bt"), ordered_words(F.col("ba")).alias("ba")).agg(F.max("book").alias("book")))
     out = by_code.unionByName(exact)
     # A record with a match over a higher bound has its best one there; only the rest is compared under the lower bound.
-    for low in sorted({max(least, 80.0), least}, reverse=True):
+    for low in sorted({max(least, x) for x in (95.0, 80.0, least)}, reverse=True):
         share = (low - 1e-4 - 30) / 70  # of the title, where the authors are the same
         texts = left.select("t", F.lit(True).alias("of_item"), F.lit(False).alias("of_book")).unionByName(b.select(F.col("bt").alias("t"), F.lit(False).alias("of_item"), F.lit(True).alias("of_book")))
         texts = texts.groupBy("t").agg(F.max("of_item").alias("of_item"), F.max("of_book").alias("of_book"))
         # Each title and author once: many records share them.
-        own = left.select("t", "a").distinct().join(alike(texts, share), "t").join(b, "bt")
-        score = F.when((F.col("a") == "") | (F.col("ba") == ""), F.col("likeness")).otherwise(F.round(0.7 * F.col("likeness") + 0.3 * edit_likeness(F.col("a"), F.col("ba")), 4))
-        best = own.withColumn("score", score).filter(F.col("score") >= low).groupBy("t", "a").agg(F.max_by("book", F.struct("score", "book")).alias("book"), F.max("score").alias("score"))
+        best = contenders(left.select("t", "a").distinct(), cut(alike(texts, share)), b).filter(F.col("score") >= low)
+        best = best.groupBy("t", "a").agg(F.max_by("book", F.struct("score", "book")).alias("book"), F.max("score").alias("score"))
         fuzzy = left.join(best, ["t", "a"]).select("item", "book", "score", F.lit("fuzzy").alias("how"))
         if low > least:
             fuzzy = cut(fuzzy)

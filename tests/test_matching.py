@@ -67,3 +67,21 @@ def test_codes_and_editions(spark):
     i = spark.createDataFrame([("i1", "b00x1", "Another title", "Nobody"), ("i2", "none", "Storms (German Edition)", "berg"), ("i3", None, "Storms (2nd  Reading Edition) ", None), ("i4", None, "Storms (Edition of 1800)", None)], ITEMS)
     got = {r["item"]: (r["book"], r["how"]) for r in C.match(i, b).collect()}
     assert got == {"i1": ("b1", "code"), "i2": ("b2", "exact"), "i3": ("b2", "exact")}
+
+
+def test_other_authors_are_compared_only_where_they_may_win(spark):
+    name = lambda k: f"{'abcdefghij'[k % 10] * 5}{'klmnopqrst'[k // 10 % 10] * 5} person"
+    books = spark.createDataFrame([("storms the", name(k), f"b{k:02}") for k in range(60)], "bt string, ba string, book string")
+    people = spark.createDataFrame([("storms thex", name(k)) for k in range(60)], "t string, a string")
+    near = spark.createDataFrame([("storms thex", "storms the", 90.9091)], "t string, bt string, likeness double")
+    got = C.contenders(people, near, books).collect()
+    assert sorted((r["a"], r["book"], r["score"]) for r in got) == sorted((name(k), f"b{k:02}", 93.6364) for k in range(60))
+
+
+def test_a_book_of_no_author_ties_with_one_of_the_same(spark):
+    b = spark.createDataFrame([("b1", "Harbour storms", ["John Adams"], None), ("b2", "Storms harbour", None, None), ("b3", "Harbour storm", ["John Adams"], None)], BOOKS)
+    i = spark.createDataFrame([("i1", None, "Storms Harbour", "Adams John"), ("i2", None, "Harbour stormsx", "Adams John")], ITEMS)
+    assert {r["item"]: (r["book"], r["score"], r["how"]) for r in C.match(i, b).collect()}["i2"] == ("b1", 95.3333, "fuzzy")
+    i = spark.createDataFrame([("i1", None, "Harbour, storms of", "Adams John")], ITEMS)
+    b = spark.createDataFrame([("b1", "of storms harbour", ["John Adams"], None), ("b2", "storms of harbour", None, None)], BOOKS)
+    assert [tuple(r) for r in C.match(i, b).collect()] == [("i1", "b2", 100.0, "fuzzy")]
